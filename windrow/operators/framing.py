@@ -229,18 +229,19 @@ def active_speakers(energy: DataFrame, margin: float = 1.25, quiet: float = 35.0
     """energy (episode_id, k, t, seat, energy) -> (episode_id, k, t, seat): who speaks, null for nobody.
 
     Energies are smoothed (running mean of 7, ends repeated) and divided by the seat's median. The loudest seat takes over when it is `margin`
-    times the next; nobody speaks while it is near its quiet floor; otherwise the last decision holds."""
+    times the next; nobody speaks while it is near its quiet floor; otherwise the last decision holds. Smoothed energies are
+    rounded to 1e-9, so that equal ones stay equal whatever the order of additions."""
     half = window // 2
     return q(
         energy.sparkSession,
         f"""
         WITH ends AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY episode_id, seat) AS n, first_value(energy) OVER w AS e0, last_value(energy) OVER (PARTITION BY episode_id, seat ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e1,
             sum(energy) OVER (PARTITION BY episode_id, seat ORDER BY k ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS near FROM {{energy}} WINDOW w AS (PARTITION BY episode_id, seat ORDER BY k)),
-        smooth AS (SELECT episode_id, k, t, seat, CASE WHEN n < {window} THEN energy ELSE (near + e0 * greatest(0, {half} + 1 - r) + e1 * greatest(0, r + {half} - n)) / {window} END AS e FROM ends),
+        smooth AS (SELECT episode_id, k, t, seat, round(CASE WHEN n < {window} THEN energy ELSE (near + e0 * greatest(0, {half} + 1 - r) + e1 * greatest(0, r + {half} - n)) / {window} END, 9) AS e FROM ends),
         scale AS (SELECT episode_id, seat, CASE WHEN median(e) = 0 THEN 1e-6D ELSE median(e) END AS med, percentile(e, {quiet / 100}D) AS floor FROM smooth GROUP BY episode_id, seat),
-        norm AS (SELECT s.episode_id, k, t, seat, e / med AS v, floor / med AS floor FROM smooth s JOIN scale USING (episode_id, seat)),
+        norm AS (SELECT s.episode_id, k, t, seat, round(e / med, 9) AS v, round(floor / med, 9) AS floor FROM smooth s JOIN scale USING (episode_id, seat)),
         top AS (SELECT *, row_number() OVER w AS place, coalesce(lead(v) OVER w, 0D) AS next FROM norm WINDOW w AS (PARTITION BY episode_id, k ORDER BY v DESC, seat)),
-        says AS (SELECT episode_id, k, t, CASE WHEN v < floor * 1.05D THEN -1 WHEN next <= 0 OR v > next * {margin}D THEN seat END AS says FROM top WHERE place = 1)
+        says AS (SELECT episode_id, k, t, CASE WHEN v < round(floor * 1.05D, 9) THEN -1 WHEN next <= 0 OR v > round(next * {margin}D, 9) THEN seat END AS says FROM top WHERE place = 1)
         SELECT episode_id, k, t, nullif(last_value(says, true) OVER (PARTITION BY episode_id ORDER BY k ROWS UNBOUNDED PRECEDING), -1) AS seat FROM says
         """,
         energy=energy,

@@ -264,11 +264,11 @@ STATIC = """held AS (SELECT f.*, s.shot FROM frames f JOIN shots s ON s.episode_
     kinds AS (SELECT s.episode_id, s.shot, s.start, s."end", NOT bool_or(h.confident) AND count(*) FILTER (WHERE h.motion >= 0) >= 3 AND median(h.motion) FILTER (WHERE h.motion >= 0) < 1.2 AS st, coalesce(median(h.center_x) FILTER (WHERE h.confident), median(h.center_x)) AS center FROM shots s JOIN held h ON h.episode_id = s.episode_id AND h.shot = s.shot GROUP BY ALL)"""
 ENERGY = """en AS (SELECT episode_id, k, t, seat, (center_x * 7 + seat * 0.25::DOUBLE + greatest(motion, 0) * (seat + 1)) % 4 + 0.125::DOUBLE AS energy FROM (SELECT *, unnest([0, 1, 2]) AS seat FROM frames)),
     mx AS (SELECT episode_id, max(k) AS m FROM frames GROUP BY ALL),
-    sm AS (SELECT e.episode_id, e.k, e.t, e.seat, avg(x.energy) AS e FROM (SELECT e.*, m, unnest(range(-3, 4)) AS o FROM en e JOIN mx USING (episode_id)) e JOIN en x ON x.episode_id = e.episode_id AND x.seat = e.seat AND x.k = greatest(0, least(e.m, e.k + e.o)) GROUP BY ALL),
+    sm AS (SELECT e.episode_id, e.k, e.t, e.seat, round(avg(x.energy), 9) AS e FROM (SELECT e.*, m, unnest(range(-3, 4)) AS o FROM en e JOIN mx USING (episode_id)) e JOIN en x ON x.episode_id = e.episode_id AND x.seat = e.seat AND x.k = greatest(0, least(e.m, e.k + e.o)) GROUP BY ALL),
     sc AS (SELECT episode_id, seat, median(e) AS med, quantile_cont(e, 0.35) AS floor_ FROM sm GROUP BY ALL),
-    nm AS (SELECT s.episode_id, k, t, seat, e / med AS v, floor_ / med AS f FROM sm s JOIN sc USING (episode_id, seat)),
+    nm AS (SELECT s.episode_id, k, t, seat, round(e / med, 9) AS v, round(floor_ / med, 9) AS f FROM sm s JOIN sc USING (episode_id, seat)),
     tp AS (SELECT episode_id, k, t, arg_max(struct_pack(seat := seat, v := v, f := f), v) AS top, coalesce(list(v ORDER BY v DESC)[2], 0) AS nxt FROM nm GROUP BY ALL),
-    sy AS (SELECT episode_id, k, t, CASE WHEN top.v < top.f * 1.05 THEN -1 WHEN nxt <= 0 OR top.v > nxt * 1.25 THEN top.seat END AS says FROM tp),
+    sy AS (SELECT episode_id, k, t, CASE WHEN top.v < round(top.f * 1.05::DOUBLE, 9) THEN -1 WHEN nxt <= 0 OR top.v > round(nxt * 1.25::DOUBLE, 9) THEN top.seat END AS says FROM tp),
     series AS (SELECT episode_id, k, t, nullif(last_value(says IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY k), -1) AS seat FROM sy)"""
 TURNS = 'turns_ AS (SELECT episode_id, seg AS turn, speaker, start, "end" - CASE WHEN seg % 5 = 0 THEN 1 ELSE 0 END::DOUBLE AS "end" FROM segments)'
 

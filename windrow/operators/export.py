@@ -113,15 +113,32 @@ def usable(stored: dict, wanted: dict) -> bool:
     return all(stored.get(k) == v for k, v in wanted.items())
 
 
+EDIT = ("start", "end", "keep_spans", "gain_db", "words")
+EDIT_SCHEMA = "start double, end double, keep_spans array<array<double>>, gain_db double, words array<struct<start: double, end: double, text: string, style: struct<bold: boolean, italic: boolean, font: string, size: int, color: string>>>"
+
+
+def edits(rows: DataFrame, column: str = "edit") -> DataFrame:
+    """rows whose JSON edits are read into `edit`: unknown fields are ignored, missing ones null; clip numbers may be text."""
+    return rows.selectExpr(f"* EXCEPT ({column}, clip)", "cast(clip AS int) AS clip", f"from_json({column}, '{EDIT_SCHEMA}') AS edit")
+
+
 def fingerprint(edit: dict) -> str:
-    """Twelve hex digits for an edit's non-empty fields; empty for none."""
-    own = {k: v for k, v in edit.items() if k in ("start", "end", "keep_spans", "gain_db", "words") and v is not None}
-    return hashlib.sha1(json.dumps(own, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:12] if own else ""
+    """Twelve hex digits for an edit; empty for one that changes nothing. Stored next to a file's times, byte for byte."""
+    own = {k: edit.get(k) for k in EDIT}
+    if all(v is None for v in own.values()):
+        return ""
+    return hashlib.sha1(json.dumps(own, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:12]
+
+
+def edited(clips: DataFrame, rows: DataFrame) -> DataFrame:
+    """clips with the start and end that edits (episode_id, clip, edit) set; a clip under one second is an error."""
+    out = q(clips.sparkSession, "SELECT c.* EXCEPT (start, end), coalesce(e.edit.start, c.start) AS start, coalesce(e.edit.end, c.end) AS end, e.edit FROM {clips} c LEFT JOIN {rows} e USING (episode_id, clip)", clips=clips, rows=rows)
+    return out.selectExpr("* EXCEPT (end)", "CASE WHEN (edit.start IS NOT NULL OR edit.end IS NOT NULL) AND end - start < 1 THEN raise_error(format_string('clip %d would be %.1fs long', clip, end - start)) ELSE end END AS end")
 
 
 def preview(clips: DataFrame) -> DataFrame:
     """The dry run's rows by clip number."""
-    return clips.selectExpr("episode_id", "clip", "round(start, 2) AS start", "round(end, 2) AS end", "round(end - start, 2) AS duration").orderBy("episode_id", "clip")
+    return clips.selectExpr("episode_id", "clip", "round(start, 2) AS start", "round(end, 2) AS end", "round(end - start, 2) AS duration", "* EXCEPT (episode_id, clip, start, end)").orderBy("episode_id", "clip")
 
 
 class State:

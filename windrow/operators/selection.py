@@ -97,3 +97,8 @@ def reserve_counts(pool: DataFrame, picks: DataFrame) -> DataFrame:
     """How many of the pool are neither picked nor equal to a pick."""
     rows = q(pool.sparkSession, "SELECT p.episode_id, c.clip FROM {pool} p LEFT JOIN (SELECT DISTINCT episode_id, start, end, 1 AS clip FROM {picks}) c ON p.episode_id = c.episode_id AND round(p.start, 2) = round(c.start, 2) AND round(p.end, 2) = round(c.end, 2)", pool=pool, picks=picks)
     return q(pool.sparkSession, "SELECT episode_id, count(*) AS pool, count(*) - count(clip) AS reserve FROM {rows} GROUP BY episode_id", rows=rows)
+
+
+def ranked(scores: DataFrame, n: int = 10) -> DataFrame:
+    """The plain ranking: non-overlapping windows, best provisional score first (ties: i, j), without a pool or calibration."""
+    return chosen(scores.selectExpr("episode_id", "i", "j", "start", "end", "provisional AS score", "0D AS raw_score"), n)

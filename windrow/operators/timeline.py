@@ -55,13 +55,13 @@ def timelines(words: DataFrame, clips: DataFrame) -> DataFrame:
 
 def user_spans(spans: str, start: str, end: str) -> str:
     """Spans set by hand, clamped to the clip, too short ones dropped, in order; the whole clip if none is left."""
-    kept = f"array_sort(filter(transform({spans}, s -> struct(greatest(s.a, {start}) AS start, least(s.b, {end}) AS end)), s -> s.end - s.start > {MIN_CUT}D))"
+    kept = f"array_sort(filter(transform({spans}, span_ -> struct(greatest(span_.a, {start}) AS start, least(span_.b, {end}) AS end)), span_ -> span_.end - span_.start > {MIN_CUT}D))"
     return f"CASE WHEN size({kept}) = 0 THEN array(struct({start} AS start, {end} AS end)) ELSE {kept} END"
 
 
 def remap(t: str, spans: str = "spans") -> str:
     """Source time on the cut timeline: what is kept before it."""
-    return f"aggregate({spans}, 0D, (a, s) -> a + greatest(0D, least({t} - s.start, s.end - s.start)))"
+    return f"aggregate({spans}, 0D, (kept_, span_) -> kept_ + greatest(0D, least({t} - span_.start, span_.end - span_.start)))"
 
 
 def shifted_words(words: DataFrame, lines: DataFrame) -> DataFrame:

@@ -74,3 +74,10 @@ def embedding(signals: pd.Series) -> pd.Series:
         return None if len(c) < 3 else np.concatenate([c.mean(0), c.std(0)]).tolist()
 
     return signals.map(one)
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """levelled rows with a line for people."""
+    move = f"CASE WHEN abs(gain) >= {MIN_GAIN}D THEN format_string('turned %s %.1f dB', CASE WHEN gain > 0 THEN 'up' ELSE 'down' END, abs(gain)) ELSE 'already on target' END"
+    line = f"format_string('source measures %.1f LUFS, peak %.1f dBTP%s - %s', integrated, true_peak, CASE WHEN is_dynamic THEN ', wide dynamic range' ELSE '' END, {move})"
+    return rows.selectExpr("*", f"CASE WHEN integrated IS NULL THEN 'audio level not measured, clips exported as-is' ELSE {line} END AS note")

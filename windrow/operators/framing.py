@@ -319,3 +319,56 @@ def split_crops(seat_rows: DataFrame, src_w: int, src_h: int, panels: int = 2, z
         """,
         seat_rows=seat_rows,
     )
+
+
+def merged_boxes(rows: DataFrame, overlap: float = 0.4) -> DataFrame:
+    """rows (episode_id, k, n, x, y, w, h): raw boxes of a frame in the order found -> kept boxes with votes: a box that overlaps a kept one
+    by more than `overlap` (intersection over union) votes for the first such, and is gone."""
+    kind = rows.schema["episode_id"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        kept: list[list] = []
+        for _, x, y, w, h in frame.sort_values("n")[["n", "x", "y", "w", "h"]].itertuples(index=False):
+            for b in kept:
+                side = max(0, min(x + w, b[0] + b[2]) - max(x, b[0])) * max(0, min(y + h, b[1] + b[3]) - max(y, b[1]))
+                if side / (w * h + b[2] * b[3] - side) > overlap:
+                    b[4] += 1
+                    break
+            else:
+                kept.append([x, y, w, h, 1])
+        return pd.DataFrame([(frame["episode_id"].iloc[0], frame["k"].iloc[0], *b) for b in kept], columns=["episode_id", "k", "x", "y", "w", "h", "votes"])
+
+    return rows.groupBy("episode_id", "k").applyInPandas(run, f"episode_id {kind}, k int, x int, y int, w int, h int, votes int")
+
+
+def tracked(samples: DataFrame, faces: DataFrame, near: float = 0.12) -> DataFrame:
+    """samples (episode_id, k, t, motion) and faces (episode_id, k, center_x, score) -> raw track: the best face, or the first that is near
+    the last position and scores more than half as much; without faces the last position holds (first 0.5), not confident.
+    The choice hangs on the one before, so an episode's faces are one grouped task."""
+    s = samples.sparkSession
+    lists = q(s, "SELECT episode_id, k, transform(array_sort(collect_list(struct(-score AS a, center_x AS x))), z -> struct(z.x AS x, -z.a AS score)) AS faces FROM {faces} GROUP BY episode_id, k", faces=faces)
+    rows = q(s, "SELECT s.episode_id, s.k, s.t, s.motion, l.faces FROM {samples} s LEFT JOIN {lists} l USING (episode_id, k)", samples=samples, lists=lists)
+    kind = samples.schema["episode_id"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        last, out = None, []
+        for found in frame["faces"]:
+            sure = found is not None and len(found) > 0
+            if sure:
+                best = found[0]
+                if last is not None:
+                    best = next((f for f in found if abs(f["x"] - last) < near and f["score"] > best["score"] * 0.5), best)
+                last = best["x"]
+            out.append((last if last is not None else 0.5, sure))
+        return frame[["episode_id", "k", "t"]].assign(center_x=[x for x, _ in out], confident=[c for _, c in out], motion=frame["motion"])
+
+    return rows.groupBy("episode_id").applyInPandas(run, f"episode_id {kind}, k int, t double, center_x double, confident boolean, motion double")
+
+
+def crop_path(track: DataFrame, cuts: DataFrame, half: float) -> DataFrame:
+    """A raw track smoothed and eased within each shot, and kept inside the frame: half is half the crop's width, as a share."""
+    held = by_shot(track, cuts)
+    own = held.selectExpr("struct(episode_id, shot) AS episode_id", "k", "t", "center_x")
+    eased = smoothed(own).selectExpr("episode_id.episode_id AS episode_id", "k", f"least(greatest(eased, {half}D), {1 - half}D) AS center_x")
+    return track.select("episode_id", "k", "t", "confident", "motion").join(eased, ["episode_id", "k"])

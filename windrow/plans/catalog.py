@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PROSE, STYLES, Lexicon
 from ..functions import audio, lexicon
 from ..functions import text as T
-from ..operators import captions, export, framing, punctuation, scoring, selection, timeline, topics
+from ..operators import captions, export, framing, punctuation, scoring, selection, speakers, timeline, topics
 from ..sources import views
 from ..sources.staging import settled
 
@@ -475,3 +475,35 @@ def loudness_gain(s: SparkSession, d: str) -> DataFrame:
 
 
 LEXICON = Lexicon({"the that": "Thethat", "le la": "La", "in der": "inder"}, ("thing", "keiten", "ungen", "mente"))
+
+
+@query
+def speaker_agreement(s: SparkSession, d: str) -> DataFrame:
+    pairs = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id % 8 AS episode_id", "event_type AS a", "cast(floor(value * 4) AS int) % 5 AS b")
+    return speakers.agreement(pairs).selectExpr("episode_id", "round(share, 9) AS share", "round(ari, 9) AS ari")
+
+
+@query
+def decoder_diagnostics(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/embeddings.parquet").selectExpr("label AS episode_id", "vec_id AS k", "vec_id * 0.25D AS t", "embedding AS hist")
+    return speakers.histogram_distances(framing.histogram_cuts(rows)).selectExpr("episode_id", "frames", "repeats", "round(median, 4) AS median", "round(p95, 4) AS p95", "round(top, 4) AS top")
+
+
+@query
+def diarized_turns(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/embeddings.parquet").selectExpr("label AS episode_id", "cast(vec_id AS int) AS seg", "vec_id * 1D AS start", "vec_id + 0.9D AS end", "CASE WHEN vec_id % 7 <> 0 THEN transform(embedding, x -> cast(x AS double)) END AS embedding")
+    return speakers.diarized(rows)
+
+
+@query
+def tracked_path(s: SparkSession, d: str) -> DataFrame:
+    frames = views.keyframes(s, d)
+    faces = frames.where("confident").selectExpr("episode_id", "k", "explode(array(struct(center_x AS x, 1D AS score), struct(1 - center_x AS x, 0.75D AS score))) AS f").selectExpr("episode_id", "k", "f.x AS center_x", "f.score AS score")
+    track = settled(framing.tracked(frames.select("episode_id", "k", "t", "motion"), faces), "track")
+    return framing.crop_path(track, _shots(s, d), 0.158203125).selectExpr("episode_id", "k", "t", "confident", "round(center_x, 9) AS center_x")
+
+
+@query
+def merged_boxes(s: SparkSession, d: str) -> DataFrame:
+    rows = s.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey % 16 AS episode_id", "cast(l_orderkey % 997 AS int) AS k", "l_orderkey * 8 + l_linenumber AS n", "cast(l_partkey % 40 AS int) AS x", "cast(l_suppkey % 30 AS int) AS y", "cast(l_quantity + 20 AS int) AS w", "cast(l_quantity + 30 AS int) AS h")
+    return framing.merged_boxes(rows)

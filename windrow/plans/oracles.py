@@ -340,3 +340,49 @@ ORACLES |= {
     "loudness_gain": """SELECT id, integrated, true_peak, "range", gain, filters, is_quiet, is_dynamic FROM (VALUES (1, -23.4::DOUBLE, -3.1::DOUBLE, 15.2::DOUBLE, 9.4::DOUBLE, 'volume=9.40dB,alimiter=limit=0.8913:attack=5:release=50:level=disabled', true, true), (2, NULL, NULL, NULL, 0::DOUBLE, NULL, NULL, NULL), (3, NULL, NULL, NULL, 0::DOUBLE, NULL, NULL, NULL),
       (4, -14.2::DOUBLE, -0.2::DOUBLE, 3.0::DOUBLE, -14::DOUBLE - -14.2::DOUBLE, 'alimiter=limit=0.8913:attack=5:release=50:level=disabled', false, false), (5, -40.0::DOUBLE, -10.0::DOUBLE, 3.0::DOUBLE, 12::DOUBLE, 'volume=12.00dB,alimiter=limit=0.8913:attack=5:release=50:level=disabled', true, false)) v(id, integrated, true_peak, "range", gain, filters, is_quiet, is_dynamic)""",
 }
+
+# --- greedy steps, one row after another by recursion ----------------------------------------------------------------
+
+SCORED = (segments(), features(), windows(), scores(), CALIBRATED)
+POOL = """ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY raw_score DESC, i, j) AS r FROM cal),
+    fold AS (SELECT episode_id, r, [{'s': start, 'e': "end", 'r': r}] AS kept FROM ord WHERE r = 1
+      UNION ALL SELECT f.episode_id, o.r, CASE WHEN len(f.kept) >= 400 OR len(list_filter(f.kept, lambda k: abs(k.s - o.start) < 3 AND abs(k.e - o."end") < 3)) > 0 THEN f.kept ELSE list_append(f.kept, {'s': o.start, 'e': o."end", 'r': o.r}) END
+      FROM fold f JOIN ord o ON o.episode_id = f.episode_id AND o.r = f.r + 1),
+    lastf AS (SELECT episode_id, arg_max(kept, r) AS kept FROM fold GROUP BY episode_id),
+    pl AS (SELECT episode_id, unnest(kept).r AS r, generate_subscripts(kept, 1) AS place FROM lastf),
+    pool AS MATERIALIZED (SELECT o.episode_id, o.i, o.j, o.start, o."end", CAST(p.place AS INT) AS place, o.raw_score, o.score, o.percentile FROM ord o JOIN pl p ON p.episode_id = o.episode_id AND p.r = o.r)"""
+
+
+def picks(name: str, src: str, n: int) -> str:
+    return f"""{name}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, raw_score DESC, i, j) AS r FROM {src}),
+    {name}_f AS (SELECT episode_id, r, [{{'s': start, 'e': "end", 'i': i, 'j': j}}] AS kept FROM {name}_o WHERE r = 1
+      UNION ALL SELECT f.episode_id, o.r, CASE WHEN len(f.kept) >= {n} OR len(list_filter(f.kept, lambda k: o.start < k.e AND k.s < o."end")) > 0 THEN f.kept ELSE list_append(f.kept, {{'s': o.start, 'e': o."end", 'i': o.i, 'j': o.j}}) END
+      FROM {name}_f f JOIN {name}_o o ON o.episode_id = f.episode_id AND o.r = f.r + 1),
+    {name}_l AS (SELECT episode_id, arg_max(kept, r) AS kept FROM {name}_f GROUP BY episode_id),
+    {name}_u AS (SELECT episode_id, unnest(kept) AS c FROM {name}_l),
+    {name} AS MATERIALIZED (SELECT episode_id, c.i AS i, c.j AS j, c.s AS start, c.e AS "end", CAST(row_number() OVER (PARTITION BY episode_id ORDER BY c.s) AS INT) AS clip FROM {name}_u)"""
+
+
+def options(mode: str) -> str:
+    return f"""SELECT p.*, greatest(0, least(p."end", o."end") - greatest(p.start, o.start)) / least(p."end" - p.start, o."end" - o.start) AS shared FROM pool p JOIN picked o ON o.episode_id = p.episode_id AND o.clip = 1
+      WHERE NOT (p.start = o.start AND p."end" = o."end") AND NOT EXISTS (SELECT 1 FROM picked c WHERE c.episode_id = p.episode_id AND c.clip <> 1 AND p.start < c."end" AND c.start < p."end") AND shared {'<=' if mode == 'different' else '>='} 0.3"""
+
+
+_BEST = "ORDER BY score DESC, raw_score DESC, i, j"
+ORACLES |= {
+    "pool_dedupe": _with(*SCORED, POOL) + " SELECT * FROM pool",
+    "nms_selection": _with(*SCORED, POOL, picks("picked", "pool", 5)) + " SELECT * FROM picked",
+    "reserve_count": _with(*SCORED, POOL, picks("picked", "pool", 5)) + ' SELECT p.episode_id, count(*) AS pool, count(*) - count(c.clip) AS reserve FROM pool p LEFT JOIN (SELECT DISTINCT episode_id, start, "end", 1 AS clip FROM picked) c ON c.episode_id = p.episode_id AND c.start = p.start AND c."end" = p."end" GROUP BY p.episode_id',
+    "regenerate_retime": _with(*SCORED, POOL, picks("picked", "pool", 5)) + f' SELECT episode_id, i, j, start, "end", score, round(shared, 6) AS shared, CAST(row_number() OVER (PARTITION BY episode_id {_BEST}) AS INT) AS choice FROM ({options("retime")})',
+    "regenerate_different": _with(*SCORED, POOL, picks("picked", "pool", 5)) + f""", opt AS (SELECT *, 0 AS turn FROM ({options("different")}) UNION ALL SELECT *, 1 AS turn FROM ({options("retime")})),
+      one AS (SELECT DISTINCT ON (episode_id) episode_id, i, j, start, "end" FROM opt ORDER BY episode_id, turn, score DESC, raw_score DESC, i, j), al AS (SELECT episode_id, i, j, start, "end" FROM picked WHERE clip <> 1 UNION ALL SELECT * FROM one)
+      SELECT *, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY start) AS INT) AS clip FROM al""",
+    "regenerate_all": _with(*SCORED, POOL, picks("picked", "pool", 5), 'spare AS (SELECT p.* FROM pool p WHERE NOT EXISTS (SELECT 1 FROM picked c WHERE c.episode_id = p.episode_id AND c.start = p.start AND c."end" = p."end"))', picks("fresh", "spare", 5)) + " SELECT * FROM fresh",
+    "speaker_agreement": """WITH p AS (SELECT user_id % 8 AS episode_id, event_type AS a, CAST(floor(value * 4) AS INT) % 5 AS b FROM events), c AS (SELECT episode_id, a, b, count(*)::DOUBLE AS n FROM p GROUP BY ALL),
+      t AS (SELECT episode_id, sum(n * (n - 1) / 2) AS c, sum(n) AS n FROM c GROUP BY ALL), x AS (SELECT episode_id, sum(n * (n - 1) / 2) AS a, sum(m) AS m FROM (SELECT episode_id, a, sum(n) AS n, max(n) AS m FROM c GROUP BY ALL) GROUP BY episode_id),
+      y AS (SELECT episode_id, sum(n * (n - 1) / 2) AS b FROM (SELECT episode_id, b, sum(n) AS n FROM c GROUP BY ALL) GROUP BY episode_id)
+      SELECT episode_id, round(m / n, 9) AS share, round((c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 9) AS ari FROM t JOIN x USING (episode_id) JOIN y USING (episode_id)""",
+    "decoder_diagnostics": """WITH h AS (SELECT label AS episode_id, vec_id AS k, embedding::DOUBLE[] AS h FROM embeddings), p AS (SELECT *, lag(h) OVER (PARTITION BY episode_id ORDER BY k) AS p FROM h),
+      x AS (SELECT episode_id, k, unnest(h) AS a, unnest(p) AS b FROM p WHERE p IS NOT NULL), c AS (SELECT episode_id, k, 1 - corr(a, b) AS d FROM x GROUP BY ALL)
+      SELECT episode_id, count(*) AS frames, count(*) FILTER (WHERE abs(d) < 1e-9) AS repeats, round(median(d), 4) AS median, round(quantile_cont(d, 0.95), 4) AS p95, round(max(d), 4) AS top FROM c GROUP BY ALL""",
+}

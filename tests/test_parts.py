@@ -153,3 +153,32 @@ def test_stream(spark, tmp_path):
     assert [(r.segments, r.words) for r in spark.sql("SELECT * FROM runs ORDER BY start").collect()] == [(3, 12), (2, 8)]
     got = scoring.features(views.derived_segments(spark, DATA), config.PROSE)
     assert got.count() > 0
+
+
+def test_vision(spark):
+    from windrow.functions import vision
+
+    flat = np.zeros((8, 8, 3), np.uint8)
+    flat[:, :4] = (120, 150, 210)  # blue, green, red: skin
+    flat[:, 4:] = (200, 40, 10)
+    assert vision.skin_fraction(flat, 0, 0, 4, 8) == 1 and vision.skin_fraction(flat, 0, 0, 8, 8) == 0.5 and vision.skin_fraction(flat, 9, 9, 2, 2) == 0
+    h = vision.hsv_histogram(flat)
+    assert abs(np.linalg.norm(h) - 1) < 1e-9 and (h > 0).sum() == 2
+    rows = spark.createDataFrame([(bytearray(flat.tobytes()), 8, 8), (None, 8, 8)], "data binary, h int, w int")
+    got = [r.v for r in rows.select(vision.histogram("data", "h", "w").alias("v")).collect()]
+    assert np.allclose(got[0], h) and got[1] is None
+    patches = spark.createDataFrame([(1, k, k * 0.1, 0, p) for k, p in enumerate([[1.0, 1.0], [2.0, 4.0], [1.0]])], "episode_id bigint, k int, t double, seat int, pixels array<double>")
+    assert [round(r.energy, 3) for r in sorted(vision.mouth_activity(patches).collect(), key=lambda r: r.k)] == [0, round(2 / 3, 3), 0]
+
+
+def test_speakers(spark):
+    from windrow.operators import speakers
+
+    rng = np.random.default_rng(1)
+    rows = [(1, k, float(k), k + 0.9, None if k % 9 == 4 else (rng.normal(0, 0.1, 6) + (5 if k % 2 else 0)).tolist()) for k in range(30)]
+    got = sorted(speakers.diarized(spark.createDataFrame(rows, "episode_id bigint, seg int, start double, end double, embedding array<double>")).collect(), key=lambda r: r.turn)
+    names = {k: {r.speaker for r in got if r.turn % 2 == k and r.turn % 9 != 4} for k in (0, 1)}
+    assert all(len(v) == 1 for v in names.values()) and names[0] != names[1]
+    assert all(got[k].speaker == got[k - 1].speaker for k in range(1, 30) if k % 9 == 4)
+    same = speakers.agreement(spark.createDataFrame([(1, k % 3, "abc"[k % 3]) for k in range(12)], "episode_id bigint, a int, b string")).first()
+    assert (same.share, same.ari) == (1, 1)

@@ -77,21 +77,22 @@ def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings
     picks = settled(selection.chosen(pool, settings.clips), "picks")
     slots = stored[0].get("slots") if stored and export.usable(stored[1], settings.decides_pool()) else None
     if slots is not None:
-        old = export.restored(slots, pool).selectExpr("episode_id", "i", "j", "start", "end", "cast(index AS int) AS clip")
+        old = settled(export.restored(slots, pool).selectExpr("episode_id", "i", "j", "start", "end", "cast(index AS int) AS clip"), "restored")
         picks = settled(old.unionByName(picks.join(old.select("episode_id").distinct(), "episode_id", "left_anti")), "picks")
     clips = picks.join(scores.select("episode_id", "i", "j", "score", "why"), ["episode_id", "i", "j"])
     if not settings.no_extend:
         stage("boundaries")
-        longer = topics.extended(picks, feats, pack, settings.hard_max)
+        longer = settled(topics.extended(picks, feats, pack, settings.hard_max), "longer")
         longer = q(spark, "SELECT e.episode_id, e.clip, e.end AS new_end FROM {e} e LEFT ANTI JOIN {p} p ON p.episode_id = e.episode_id AND p.start > e.end - e.added AND p.start < e.end", e=longer, p=picks)
         clips = settled(q(spark, "SELECT c.* EXCEPT (end), coalesce(l.new_end, c.end) AS end FROM {c} c LEFT JOIN {l} l USING (episode_id, clip)", c=clips, l=longer), "clips")
         moved = topics.real_openings(clips.select("episode_id", "clip", "start", "end"), feats).selectExpr("episode_id", "clip", "start AS new_start")
+        moved = settled(moved, "moved")
         clips = q(spark, "SELECT c.* EXCEPT (start), coalesce(m.new_start, c.start) AS start FROM {c} c LEFT JOIN {m} m USING (episode_id, clip)", c=clips, m=moved)
     if edits is not None:
         clips = export.edited(clips, edits).drop("edit")
     clips = settled(clips.select("episode_id", "clip", "i", "j", "start", "end", "score", "why"), "clips")
     stage("planning")
-    lines = timeline.timelines(words, clips) if not settings.no_trim_silence else clips.selectExpr("*", "array(struct(start, end)) AS spans", "end - start AS duration", "0 AS cuts", "0D AS removed")
+    lines = settled(timeline.timelines(words, clips), "timelines") if not settings.no_trim_silence else clips.selectExpr("*", "array(struct(start, end)) AS spans", "end - start AS duration", "0 AS cuts", "0D AS removed")
     rows = export.platforms(spark, tuple(settings.platforms.split(",")))
     texts = q(spark, "SELECT c.episode_id, c.clip, c.start, c.end, c.score, c.why, array_join(transform(array_sort(collect_list(struct(f.seg, f.t))), x -> x.t), ' ') AS text FROM {c} c JOIN {f} f ON f.episode_id = c.episode_id AND f.start >= c.start AND f.end <= c.end GROUP BY ALL", c=clips, f=feats)
     packs = captions.packs(texts, pack)

@@ -20,7 +20,9 @@ from .shared import importable
 
 DIM, SYMBOLS, UNDETERMINED = 1024, 64, "und"
 #: Texts and characters whose vectors are made together.
-_TEXTS, _CHARS = 256, 1 << 21
+_TEXTS, _CHARS = 256, 1 << 20
+#: Rows of an Arrow batch that are taken together.
+_ROWS = 1024
 _SCALE = 1 << 20
 
 
@@ -94,7 +96,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             v = np.rint(vectors(batch.column("text").to_pylist()) * _SCALE).astype(np.int64)
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
@@ -121,7 +123,7 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: li
     names = np.array([*profiles.languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             v = vectors(batch.column("_text").to_pylist())
             some = v.any(axis=1)
             cos = v @ profiles.prototypes.T if profiles.languages else np.zeros((len(v), 1), np.float32)

@@ -29,7 +29,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END, LETTER, NUMBER, OTHER, SPACE, ODD = 0, 1, 2, 3, 4, 5
 #: Characters taken at once, and entries and ids that a table may hold before it is emptied.
-BLOCK, ENTRIES, IDS = 1 << 20, 1 << 21, 1 << 24
+BLOCK, ENTRIES, IDS = 1 << 19, 1 << 20, 1 << 23
 _P = 0x9E3779B97F4A7C15 | 1
 _ABOVE = 0x3000
 

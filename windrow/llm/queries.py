@@ -55,7 +55,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs)[0].drop("text")
+    return mixing.mix(docs)[0].selectExpr("* EXCEPT (text, order_key)", "order_key.block AS order_block", "order_key.place AS order_place")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     open_ = docs.where(_remainder(5) != 0).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0).select("doc_id", "toxic")
-    scorer = toxicity.learn(open_.join(labels, "doc_id"), open_)
+    scorer = toxicity.learn(labels, open_)
     return toxicity.score(docs, scorer, more={"held_out": F.coalesce(_remainder(5) == 0, F.lit(False))})
 
 

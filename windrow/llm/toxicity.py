@@ -20,6 +20,10 @@ from .shared import importable
 
 #: Lengths of the word beginnings that count besides whole words (runs of letters, lower case).
 STEMS = (4, 5, 6, 7)
+#: Confirmed texts that a feature must occur in.
+LEAST = 5
+#: Texts whose features are made together.
+_ROWS = 1000
 
 
 def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +113,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4, least: int = 5, screen: float = 0.7) -> Scorer:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4, least: int = LEAST, screen: float = 0.7) -> Scorer:
     """Minimises the non-negative risk, with the logistic loss, over weights of the features that `least` positive texts or
     more have and of whose texts a share of `screen` at least is toxic, as estimated from the prior and the two samples.
 
@@ -152,30 +156,46 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Scorer(known, w, float(bias))
 
 
-def learn(labelled: DataFrame, texts: DataFrame, toxic_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", positives: int = 4_000, unlabelled: int = 12_000) -> Scorer:
-    """labelled: rows with text and toxic (1: confirmed). texts: rows to take unlabelled texts from, of any kind.
+def learn(labels: DataFrame, texts: DataFrame, toxic_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", positives: int = 4_000, unlabelled: int = 12_000) -> Scorer:
+    """labels: id and toxic (1: confirmed). texts: id and text, of any kind: unlabelled texts are taken from these too.
 
     The class prior is the share of confirmed texts among the labelled. About `positives` and `unlabelled` rows at most
-    are used, chosen by a hash of the id; their distinct features (not the texts) reach the driver. Null texts are empty. Without a confirmed text
-    every score is near 0."""
-    importable(labelled.sparkSession)
-    share = labelled.agg(F.count(F.when(F.col(toxic_col) == 1, 1)).alias("p"), F.count(toxic_col).alias("n")).collect()[0]
+    are used, chosen by a hash of the id; the chosen positives' ids are broadcast, so no text is shuffled. What reaches the
+    driver is which features LEAST confirmed texts have, and which of those each chosen text has, not the texts. Null
+    texts are empty. Without a confirmed text every score is near 0."""
+    importable(labels.sparkSession)
+    share = labels.agg(F.count(F.when(F.col(toxic_col) == 1, 1)).alias("p"), F.count(toxic_col).alias("n")).collect()[0]
 
-    def chosen(df: DataFrame, there: int, most: int, seed: int) -> list[np.ndarray]:
+    def chosen(df: DataFrame, there: int, most: int, seed: int) -> DataFrame:
         if there > most:
             df = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / there))
+        return df
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, _ROWS):
+                f, _ = _features(whole.column("text").slice(k, _ROWS).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64))], names=["f"])
+
+    ids = chosen(labels.where(F.col(toxic_col) == 1).select(id_col), share["p"], positives, 11).distinct()
+    texts = texts.select(id_col, F.col(text_col).alias("text"))
+    confirmed = texts.join(F.broadcast(ids), id_col, "left_semi").select("text")
+    rows = confirmed.mapInArrow(listed, "f bigint").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("f").toArrow()
+    known = np.sort(rows.column("f").to_numpy().view(np.uint64))
+
+    def held(df: DataFrame) -> list[np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                f, n = _features(batch.column("text").to_pylist())
-                end = np.cumsum(n)
-                yield pa.RecordBatch.from_arrays([pa.array([f[e - k : e].astype("<u8").tobytes() for e, k in zip(end.tolist(), n.tolist(), strict=True)], pa.binary())], names=["f"])
+            for whole in batches:
+                for k in range(0, whole.num_rows, _ROWS):
+                    f, n = _features(whole.column("text").slice(k, _ROWS).to_pylist())
+                    own = known[np.minimum(np.searchsorted(known, f), len(known) - 1)] == f if len(known) else np.zeros(len(f), bool)
+                    end = np.cumsum(n)
+                    yield pa.RecordBatch.from_arrays([pa.array([f[e - m : e][own[e - m : e]].astype("<u8").tobytes() for e, m in zip(end.tolist(), n.tolist(), strict=True)], pa.binary())], names=["f"])
 
-        rows = df.select(F.col(text_col).alias("text")).mapInArrow(run, "f binary").toArrow()
-        return [np.frombuffer(f, "<u8") for f in sorted(rows.column("f").to_pylist())]
+        found = df.mapInArrow(run, "f binary").toArrow()
+        return [np.frombuffer(f, "<u8") for f in sorted(found.column("f").to_pylist())]
 
-    positive = chosen(labelled.where(F.col(toxic_col) == 1), share["p"], positives, 11)
-    rest = chosen(texts, texts.select(F.lit(1)).count(), unlabelled, 12)
+    positive, rest = held(confirmed), held(chosen(texts, texts.select(F.lit(1)).count(), unlabelled, 12).select("text"))
     return fit(positive, rest, share["p"] / share["n"] if share["n"] else 0.0)
 
 
@@ -186,7 +206,7 @@ def score(df: DataFrame, scorer: Scorer, text_col: str = "text", id_col: str = "
     cols = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             s = _sigmoid(scorer.logits(*_features(batch.column("_text").to_pylist())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*cols, "score", "predicted"])
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from windrow.llm import exact_dedup, language, mixing, packing, simhash
+from windrow.llm import exact_dedup, language, mixing, near_copies, packing
 from windrow.llm.queries import _tokenizer
 from windrow.llm.shared import shared_dir, table
 
@@ -28,10 +28,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays. Rows of a null doc_id stay: nothing tells which of them to drop."""
-    told = simhash.near_duplicates(docs)
-    dropped = told.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of texts with 0.8 or more of their five-word shingles in common one stays, the row of the smallest doc_id."""
+    return near_copies.one_of_each(docs, words=5, least=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

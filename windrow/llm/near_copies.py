@@ -1,0 +1,162 @@
+"""Near copies by shingle sets: MinHash bands propose pairs, the sets themselves decide, components of the links group.
+
+The Jaccard similarity of two texts' sets is the chance that a random hash has the same minimum over both. BANDS keys of
+BAND minima each miss a pair of similarity 0.8 with chance (1 - 0.8^5)^24 = 7e-5, and more similar ones more rarely.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from .shared import importable, partitions, written
+from .simhash import _contracted
+
+BANDS, BAND = 24, 5
+#: Members of a bucket that are all compared with each other, and those that all members of a larger one are compared with.
+SMALL, HUBS = 16, 8
+_CHUNK = 1024
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(29))
+    return x * _ODD ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct word shingles, as sorted 64-bit names. Words as in simhash; fewer than a shingle has make one shingle."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    size = min(words, len(w))
+    out = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = _mix(out + h[k : k + len(out)])
+    return np.unique(out)
+
+
+def _seeds() -> np.ndarray:
+    return np.random.default_rng(20250117).integers(0, 1 << 63, (BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _bands(names: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(names), _CHUNK):
+        x = (names[a : a + _CHUNK] ^ seeds) * seeds
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=1), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        keys = _mix(keys * _ODD + column)
+    return keys
+
+
+def _marked(df: DataFrame, text_col: str, words: int) -> DataFrame:
+    """df with _set (a name of the text's shingle set) and _bands."""
+    cols = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seeds = _seeds()
+        for batch in batches:
+            sets = [shingles(x, words) for x in batch.column(text_col).to_pylist()]
+            name = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
+            keys = pa.array([_bands(s, seeds).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(name.view(np.int64)), keys], names=[*cols, "_set", "_bands"])
+
+    return df.mapInArrow(run, df.select(*cols).schema.add("_set", "long").add("_bands", ArrayType(LongType())))
+
+
+def _pairs(keys: DataFrame) -> DataFrame:
+    """(a, b, first): pairs of sets that share a band; first: a is the smallest of the bucket."""
+
+    def paired(band: int, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = np.unique(s)
+        n = len(s)
+        if n <= SMALL:
+            i, j = np.triu_indices(n, 1)
+        else:
+            hubs = np.concatenate([[0], np.argsort(_mix(s.view(np.uint64) ^ np.uint64(band & (1 << 64) - 1)))[:HUBS]])
+            i, j = np.repeat(hubs, n), np.tile(np.arange(n), len(hubs))
+            i, j = np.minimum(i, j)[i != j], np.maximum(i, j)[i != j]
+        return s[i], s[j], i == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(band: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1], [True]]))
+            many = np.flatnonzero(np.diff(cut) > 1)
+            for k in range(0, len(many), 1000):
+                found = [paired(int(band[cut[m]]), s[cut[m] : cut[m + 1]]) for m in many[k : k + 1000]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b", "first"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            held.append((batch.column("band").to_numpy(), batch.column("_set").to_numpy()))
+            if held[0][0][0] != held[-1][0][-1]:
+                band_, set_ = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.searchsorted(band_, band_[-1]))
+                yield from done(band_[:whole], set_[:whole])
+                held = [(band_[whole:], set_[whole:])]
+        if held:
+            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    spread = keys.repartition(partitions(keys.sparkSession), "band").sortWithinPartitions("band")
+    return spread.mapInArrow(run, "a bigint, b bigint, first boolean").groupBy("a", "b").agg(F.max("first").alias("first"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets' Jaccard similarity is `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                told.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(told, pa.bool_()))
+
+    rows = pairs.join(sets.selectExpr("_set AS a", "names AS x"), "a").join(sets.selectExpr("_set AS b", "names AS y"), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of df that stay when of each group of near copies only one does.
+
+    Texts whose sets of word shingles have a Jaccard similarity of `least` or more are linked, groups are components of
+    links, and the row with the smallest id, then the smallest text, stays; null ids come last. Decided row by row: of repeated rows one stays, and an id's other
+    texts are judged by themselves. Null texts are empty, and empty ones are one group. In a bucket of more than SMALL texts only
+    pairs with HUBS others are compared, in each of the BANDS buckets of a text with others."""
+    spark = df.sparkSession
+    importable(spark)
+    cols = df.columns
+    rows = written(_marked(df, text_col, words), "marked")
+    pairs = written(_pairs(rows.select("_set", F.explode("_bands").alias("band"))), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([shingles(x, words).astype("<u8").tobytes() for x in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_set"), names], names=["_set", "names"])
+
+    texts = rows.select("_set", F.col(text_col).alias("text")).join(wanted, "_set", "left_semi")
+    sets = written(texts.mapInArrow(listed, "_set bigint, names binary").dropDuplicates(["_set"]), "sets")
+    links = written(_verified(pairs.where("first"), sets, least), "links")
+    label = _contracted(links)
+    rest = pairs.where("NOT first").join(label.selectExpr("label AS a", "to AS la"), "a", "left").join(label.selectExpr("label AS b", "to AS lb"), "b", "left")
+    more = written(_verified(rest.where("coalesce(la <> lb, true)").select("a", "b"), sets, least), "links")
+    group = written(_contracted(links.union(more)), "groups")
+    told = rows.drop("_bands").join(group.withColumnRenamed("label", "_set"), "_set", "left").withColumn("_group", F.coalesce("to", "_set"))
+    order = Window.partitionBy("_group").orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col))
+    return told.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*cols)

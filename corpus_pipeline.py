@@ -12,15 +12,19 @@ from windrow.llm import exact_dedup, language, mixing, near_copies, packing
 from windrow.llm.queries import _tokenizer
 from windrow.llm.shared import shared_dir, table
 
-#: Documents whose best language is further off than this are rejected.
-LEAST_COSINE = 0.02
+#: Documents whose best language is further off than this are rejected: from LETTERS[1] letters on, and up to LETTERS[0], where clean
+#: texts score like noise; in proportion between. README has the measured scores.
+LEAST_COSINE, LEAST_SHORT, LETTERS = 0.2, 0.02, (16, 48)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that are null, have no letter, or are like no language of the labelled documents."""
     profiles = language.learn(docs, key=F.col("doc_id"))
     told = language.identify(docs, profiles, keep=docs.columns)
-    return told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (letters - LETTERS[0]) / (LETTERS[1] - LETTERS[0])))
+    like = F.when(F.col("score") >= LEAST_COSINE, True).otherwise(F.col("score") >= LEAST_SHORT + (LEAST_COSINE - LEAST_SHORT) * share)
+    return told.where((F.col("lang_pred") != language.UNDETERMINED) & like).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,9 +85,14 @@ def cuts(cp: np.ndarray, kind: np.ndarray, words: bool) -> np.ndarray:
 
 def names(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The state that each pretoken ends in: a prefix scan over the characters' affine maps."""
-    r, up, down = _hashing()
-    scan = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(r[cp] * up[: len(cp)], out=scan[1:])
+    return named(_hashing()[0][cp], starts, ends)
+
+
+def named(r: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """names, of characters given as their random numbers."""
+    _, up, down = _hashing()
+    scan = np.zeros(len(r) + 1, np.uint64)
+    np.cumsum(r * up[: len(r)], out=scan[1:])
     h = (scan[ends] - scan[starts]) * down[starts]
     h ^= (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)

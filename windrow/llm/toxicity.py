@@ -7,47 +7,75 @@ texts from unlabelled ones, and is kept from going below zero, where it would on
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import BLOCK, END, LETTER, _classes, _hashing, names
+from .lexing import BLOCK, END, LETTER, _hashing, named
 from .shared import importable
 
 #: Lengths of the word beginnings that count besides whole words (runs of letters, lower case).
 STEMS = (4, 5, 6, 7)
+#: Lengths of the character n-grams that count in scripts written without spaces.
+GRAMS = (1, 2, 3)
+#: Blocks of these scripts, and of Hangul, whose words carry their particles: Thai and Lao, Tibetan, Burmese, Hangul, Khmer, Chinese and
+#: Japanese, and what is above U+FFFF of them.
+_UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1100, 0x11FF), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x318F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA960, 0xA97F), (0xAA60, 0xAA7F), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFF66, 0xFFDC), (0x16FE0, 0x18CFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
 #: Confirmed texts that a feature must occur in.
 LEAST = 5
 #: Texts whose features are made together.
 _ROWS = 1000
 
 
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each character of Unicode: LETTER or END, the random number of its lower case, and whether its script has no spaces."""
+    kind, low, unspaced = np.full(0x110000, END, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+    for a, b in _UNSPACED:
+        unspaced[a : b + 1] = True
+    for c in range(0x110000):
+        ch = chr(c)
+        if ch.isalpha() or (unspaced[c] and unicodedata.category(ch)[0] == "M"):
+            kind[c] = LETTER
+            if len(ch.lower()) == 1:
+                low[c] = ord(ch.lower())
+    below = _hashing()[0]
+    r = np.concatenate([below, np.random.default_rng(20250118).integers(1, 1 << 63, 0x110000 - len(below), dtype=np.uint64) * 2 + 1])
+    return kind, r[low], unspaced & (kind == LETTER)
+
+
 def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of the texts, as 64-bit names, one text after another, and how many each has."""
-    kind, low = _classes()
-    limit = len(_hashing()[0])
+    kind, random, unspaced = _letters()
     found: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     parts: list[list[np.ndarray]] = [[] for _ in texts]
 
     def run(text: str, owners: list[int], stops: np.ndarray) -> None:
-        cp = low[np.frombuffer(text.encode("utf-32-le"), "<u4")]
-        k = np.where(kind[cp] == LETTER, LETTER, END)
-        cp = np.minimum(cp, limit - 1)
+        cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        k, r = kind[cp], random[cp]
         b = np.flatnonzero(np.diff(np.concatenate([[END], k, [END]]).astype(np.int8)))
         starts, ends = b[::2], b[1::2]
         if not len(starts):
             return
         doc = np.searchsorted(stops, starts).astype(np.int64)
-        names_, docs = [names(cp, starts, ends)], [doc]
+        names_, docs = [named(r, starts, ends)], [doc]
         for n in STEMS:
             long = ends - starts > n
-            names_.append(names(cp, starts[long], starts[long] + n) ^ np.uint64(0x5851F42D4C957F2D))
+            names_.append(named(r, starts[long], starts[long] + n) ^ np.uint64(0x5851F42D4C957F2D))
             docs.append(doc[long])
+        wide = unspaced[cp]
+        if wide.any():
+            for n in GRAMS:
+                at = np.flatnonzero(np.logical_and.reduce([wide[i : len(wide) - n + 1 + i] for i in range(n)]))
+                names_.append(named(r, at, at + n))
+                docs.append(np.searchsorted(stops, at).astype(np.int64))
         f, d = np.concatenate(names_), np.concatenate(docs)
         order = np.argsort(f, kind="stable")
         f, d = f[order], d[order]

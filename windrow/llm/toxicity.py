@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexing import BLOCK, END, LETTER, _hashing, named
+from .lexing import BLOCK, END, LETTER, character_numbers, named
 from .shared import importable
 
 #: Lengths of the word beginnings that count besides whole words (runs of letters, lower case).
@@ -45,9 +45,7 @@ def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             kind[c] = LETTER
             if len(ch.lower()) == 1:
                 low[c] = ord(ch.lower())
-    below = _hashing()[0]
-    r = np.concatenate([below, np.random.default_rng(20250118).integers(1, 1 << 63, 0x110000 - len(below), dtype=np.uint64) * 2 + 1])
-    return kind, r[low], unspaced & (kind == LETTER)
+    return kind, character_numbers(0)[low], unspaced & (kind == LETTER)
 
 
 def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from windrow.llm import chat, exact_dedup, huffman, language, lexing, mixing, packing, quality, simhash, token_counts, token_store, toxicity
+from windrow.llm import chat, exact_dedup, huffman, language, lexing, mixing, packing, quality, simhash, token_counts, token_store, toxicity, trie
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "   \n", "a b", "a  b", "ab", "Éa b'll can't 'S <|endoftext|> x", "x" * 5000, "one two three four " * 40, "one two three four " * 40, "tab\tb\nb\nb\n\nc", "日本 ㍿ ǅ 12 3", "$ # a\n!\n!"]
@@ -225,18 +225,56 @@ def clustered(n, seed):
     return sorted(out)[:n]
 
 
+def joined(x, bits=64, budget=3, labels=None):
+    """The pairs that the trie gives with either half put first, and the keys it left out."""
+    keys, zero, half = np.array(x, np.uint64), np.zeros(1, np.int64), bits // 2
+    pairs, out = set(), set()
+    for turned in (keys, (keys << np.uint64(half) | keys >> np.uint64(bits - half)) & np.uint64((1 << bits) - 1)):
+        order = np.argsort(turned, kind="stable")
+        end = np.array([len(keys)])
+        for a, b, missed in trie.trie_join(turned[order], zero, end, end, zero, zero, bits, budget, None if labels is None else labels[order]):
+            pairs |= {(min(i, j), max(i, j)) for i, j in zip(order[a].tolist(), order[b].tolist(), strict=True)}
+            out |= set(order[missed].tolist())
+    return pairs, out
+
+
+def linked_pairs(x, budget=3):
+    return {(j, i) for i in range(len(x)) for j in range(i) if (x[i] ^ x[j]).bit_count() <= budget}
+
+
 def test_trie_join():
-    for seed in range(4):
+    for seed in range(3):
         x = clustered(400, seed)
-        want = components(x, lambda a, b: (a ^ b).bit_count() <= 3)
-        assert simhash.trie_join(np.array(x, np.uint64), np.zeros(len(x), np.int64)).tolist() == want
-    assert simhash.trie_join(np.zeros(0, np.uint64), np.zeros(0, np.int64)).tolist() == []
+        assert joined(x) == (linked_pairs(x), set())
+        labels = np.array([i % 5 for i in range(len(x))])
+        assert joined(x, labels=labels)[0] == {(a, b) for a, b in linked_pairs(x) if labels[a] != labels[b]}
+    rnd = random.Random(2)
+    short = [rnd.getrandbits(12) for _ in range(300)] + [7] * 40  # equal keys too
+    for budget in (0, 1, 2, 3):
+        assert joined(short, 12, budget)[0] == linked_pairs(short, budget)
 
 
 def test_trie_join_in_small_bites(monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRS", 64)
-    x = clustered(300, 9)
-    assert simhash.trie_join(np.array(x, np.uint64), np.zeros(len(x), np.int64)).tolist() == components(x, lambda a, b: (a ^ b).bit_count() <= 3)
+    monkeypatch.setattr(trie, "PAIRS", 64)
+    monkeypatch.setattr(trie, "LINKS", 16)
+    for x, bits in ((clustered(300, 9), 64), ([random.Random(3).getrandbits(20)] * 50 + [1, 2, 3], 20)):
+        pairs, out = joined(x, bits)
+        all_ = linked_pairs(x)
+        assert pairs <= all_ and all({a, b} <= out for a, b in all_ - pairs)  # what is not given is left out, and said to be
+        near = lambda i, j, p=pairs: (min(i, j), max(i, j)) in p
+        assert components(range(len(x)), near) == components(x, lambda a, b: (a ^ b).bit_count() <= 3)
+        labels = np.array([i % 3 for i in range(len(x))])
+        assert joined(x, bits, labels=labels)[0] == {(a, b) for a, b in all_ if labels[a] != labels[b]}
+
+
+def test_node_pairs_of_many_keys_are_dealt_further(spark, monkeypatch):
+    monkeypatch.setattr(trie, "MOST", 60)
+    x = clustered(900, 12)
+    rows = spark.createDataFrame([(0, int(np.uint64(v).view(np.int64)), i) for i, v in enumerate(x)], "lane int, key bigint, vertex bigint")
+    dealt = trie.spread(rows, len(x), 1, 64, 3)
+    assert max(r["count"] for r in dealt.groupBy("lane", "depth", "a", "b").count().collect()) <= 60
+    got = {(r.a, r.b) for r in trie.join_dealt(dealt, 64, 3).where("b IS NOT NULL").collect()}
+    assert got == linked_pairs(x)
 
 
 def test_linked(spark):

@@ -1,8 +1,10 @@
-"""SimHash near-duplicates: fingerprints, a binary-trie self-join, and components of its links."""
+"""SimHash near-duplicates: fingerprints, a binary-trie self-join (see trie), and components of its links."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -10,13 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import importable, partitions, written
+from .shared import importable, written
+from .trie import contracted, join_dealt, spread
 
-#: Node pairs, and links, taken at once.
-PAIRS = 1 << 18
-#: Rows of a task's share that are joined at once, cut between groups.
-ROWS = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Shingles whose votes are counted together.
+_PART = 1 << 14
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -29,201 +30,44 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
         return 0
     n = max(1, len(w) - words + 1)
     votes = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 16):
-        part = w[a : min(a + (1 << 16), n) + words - 1]
+    for a in range(0, n, _PART):
+        part = w[a : min(a + _PART, n) + words - 1]
         hashes = [digest(b" ".join(x)) for x in zip(*(part[i:] for i in range(words)), strict=False)] if len(w) >= words else [digest(b" ".join(w))]
-        h = np.array(hashes, "<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        votes += _votes(np.array(hashes, np.uint64))
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def _votes(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed bigint). Null text: empty, fingerprint 0. A-Z are lower-cased, words
-    are `[^\\x20\\x09-\\x0D]+`; fewer words than a shingle has make one shingle."""
+    """doc_id and fp (the fingerprint as a signed bigint), a row for each row of df; ids keep their type.
+
+    Null text: empty, fingerprint 0. A-Z are lower-cased, words are `[^\\x20\\x09-\\x0D]+`; fewer words than a shingle has make one
+    shingle. Texts of any length: votes are counted in parts. Repeated rows stay repeated, other columns are not read, an
+    empty table gives an empty one."""
     importable(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x, words, seed) for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
-
-
-class _Classes:
-    """Components of links between numbered leaves, as each leaf's smallest reachable number."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-        self.changes = np.arange(n)  # how often neighbouring leaves' classes differ, up to here
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.of[a], self.of[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            root = np.arange(len(self.of))
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while (root[root] != root).any():
-                root = root[root]
-            self.of = root[self.of]
-        self.changes = np.concatenate([[0], np.cumsum(self.of[1:] != self.of[:-1])])
-
-    def one(self, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
-        """Whether two ranges of leaves are of one class already."""
-        return (self.changes[hi - 1] == self.changes[lo]) & (self.changes[hi2 - 1] == self.changes[lo2]) & (self.of[lo] == self.of[lo2])
-
-
-def trie_join(keys: np.ndarray, group: np.ndarray, budget: int = 3, bits: int = 64) -> np.ndarray:
-    """Components of the links within groups: for each key the index of its component's first key.
-
-    keys are distinct in a group and sorted by (group, key), so a trie node is a range of keys. Node pairs are traversed
-    together, from each group's root with itself: a level down, the four child pairs follow, those of unlike bits
-    with one bit of the budget spent, and pairs over budget are pruned. So are pairs whose leaves are all linked already: what is
-    asked for is components, and a group of many near copies has links without number. Pairs wait on a stack
-    and are taken PAIRS at a time, which bounds memory.
-    """
-    n = len(keys)
-    classes = _Classes(n)
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
-    end = np.append(start[1:], n)
-    big = end - start > 1
-    start, end = start[big], end[big]
-    stack = [(bits - 1, start, end, start, end, np.zeros(len(start), np.int8))]
-    zeros: dict[int, np.ndarray] = {}
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    while stack:
-        bit, a, b, c, d, spent = stack.pop()
-        if len(a) > PAIRS:
-            stack.append((bit, *(x[PAIRS:] for x in (a, b, c, d, spent))))
-            a, b, c, d, spent = (x[:PAIRS] for x in (a, b, c, d, spent))
-        open_ = ~classes.one(a, b, c, d)
-        a, b, c, d, spent = (x[open_] for x in (a, b, c, d, spent))
-        if not len(a):
-            continue
-        few = (b - a) * (d - c) <= 32
-        if few.any() or bit < 0:
-            p, q, r, s = (x[few] for x in (a, b, c, d))
-            size = (q - p) * (s - r)
-            which = np.repeat(np.arange(len(p)), size)
-            k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            x, y = p[which] + k // (s - r)[which], r[which] + k % (s - r)[which]
-            near = (x < y) & (np.bitwise_count(keys[x] ^ keys[y]) <= budget)
-            links.append((x[near], y[near]))
-            held += int(near.sum())
-            if held >= PAIRS:
-                classes.link(*(np.concatenate(z) for z in zip(*links, strict=True)))
-                links, held = [], 0
-            a, b, c, d, spent = (x[~few] for x in (a, b, c, d, spent))
-        if not len(a):
-            continue
-        if bit not in zeros:
-            zeros[bit] = np.concatenate([[0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1) == 0)])
-        z = zeros[bit]
-        m, o = a + z[b] - z[a], c + z[d] - z[c]
-        own = a == c
-        cost = spent + 1
-        nxt = [np.concatenate(x) for x in zip((a, m, c, o, spent), (m, b, o, d, spent), (a, m, o, d, cost), (m[~own], b[~own], c[~own], o[~own], cost[~own]), strict=True)]
-        live = (nxt[0] < nxt[1]) & (nxt[2] < nxt[3]) & (nxt[4] <= budget) & ~((nxt[0] == nxt[2]) & (nxt[1] - nxt[0] == 1))
-        stack.append((bit - 1, *(x[live] for x in nxt)))
-    if links:
-        classes.link(*(np.concatenate(z) for z in zip(*links, strict=True)))
-    return classes.of
-
-
-def _mix(fp: np.ndarray) -> np.ndarray:
-    """A one-to-one scramble, so that the order of vertices has nothing to do with who is linked to whom."""
-    x = fp * np.uint64(_ODD)
-    return x ^ (x >> np.uint64(32))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long"))
 
 
 def linked(distinct: DataFrame, budget: int = 3) -> DataFrame:
-    """distinct: fp, each once. Returns (fp, label) for each fp that has a link; equal labels: connected.
-
-    Two fingerprints of 64 bits that differ in at most `budget` have one of budget + 1 blocks in common, so the
-    trie is cut below the first block's levels (none of its bits may differ there) once for each rotation that puts
-    another block first, and its subtries are joined by themselves, many to a task.
-    """
-    spark = distinct.sparkSession
-    importable(spark)
-    blocks = budget + 1
-    width = 64 // blocks
-
-    def rotated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            turned = [(fp << np.uint64(k * width) | fp >> np.uint64(64 - k * width)) if k else fp for k in range(blocks)]
-            turn = np.repeat(np.arange(blocks, dtype=np.int64), len(fp))
-            key = np.concatenate(turned)
-            yield pa.RecordBatch.from_arrays([pa.array(turn << 32 | (key >> np.uint64(64 - width)).astype(np.int64)), pa.array(key.view(np.int64))], names=["group", "key"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def done(group: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-            order = np.lexsort((key, group))
-            group, key = group[order], key[order]
-            of = trie_join(key, group, budget, 64 - width)
-            many = np.bincount(of, minlength=len(of))[of] > 1
-            turn = (group[many] >> 32).astype(np.uint64) * np.uint64(width)
-            k = key[many]
-            fp = np.where(turn > 0, k >> turn | k << (np.uint64(64) - np.maximum(turn, np.uint64(1))), k)
-            label, of = _mix(fp).view(np.int64), of[many]
-            first, inverse = np.unique(of, return_inverse=True)
-            root = np.full(len(first), np.iinfo(np.int64).max)
-            np.minimum.at(root, inverse, label)
-            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(label), pa.array(root[inverse])], names=["fp", "label", "root"])
-
-        for batch in batches:
-            held.append((batch.column("group").to_numpy(), batch.column("key").to_numpy().view(np.uint64)))
-            if sum(len(x) for x, _ in held) >= ROWS:
-                group, key = (np.concatenate(x) for x in zip(*held, strict=True))
-                whole = group != group[-1]
-                if whole.any():
-                    yield done(group[whole], key[whole])
-                held = [(group[~whole], key[~whole])]
-        if held:
-            yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    spread = distinct.select("fp").mapInArrow(rotated, "group bigint, key bigint")
-    stars = spread.repartition(partitions(spark), "group").sortWithinPartitions("group").mapInArrow(joined, "fp bigint, label bigint, root bigint")
-    # A vertex has a root for each block at most. Vertices become their smallest root; the roots of one vertex are linked.
-    own = written(stars.groupBy("fp").agg(F.array_sort(F.collect_set("root")).alias("roots")), "roots")
-    edges = own.where("size(roots) > 1").select(F.col("roots")[0].alias("a"), F.explode(F.expr("slice(roots, 2, size(roots))")).alias("b")).distinct()
-    final = _contracted(edges)
-    return own.select("fp", F.col("roots")[0].alias("label")).join(final, "label", "left").select("fp", F.coalesce("to", "label").alias("label"))
-
-
-def _contracted(edges: DataFrame) -> DataFrame:
-    """(label, to) for the vertices of edges (a, b): `to` is the same within a component and different between.
-
-    Each round, a vertex moves to its smallest neighbour's smallest neighbour, and edges between the moved
-    vertices remain. Labels are scrambled, so paths to a local minimum are short and edges run out in a few rounds."""
-    spark = edges.sparkSession
-    edges = written(edges, "edges")
-    moved = None
-    while edges.limit(1).count():
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")), "step")
-        jump = step.join(step.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("a", F.coalesce("next", "to").alias("to"))
-        jump = written(jump, "jump")
-        ends = edges.join(jump, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(jump, "a").select("x", F.col("to").alias("y"))
-        edges = written(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if moved is None:
-            moved = jump.select(F.col("a").alias("label"), "to")
-        else:
-            moved = moved.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("label", F.coalesce("next", "to").alias("to"))
-        moved = written(moved, "moved")
-    return moved if moved is not None else spark.createDataFrame([], "label bigint, to bigint")
+    """distinct: fp, each once. Returns (fp, label) for each fp that has a link; equal labels: connected."""
+    keys = distinct.select(F.lit(0).alias("lane"), F.col("fp").alias("key"), F.xxhash64("fp").alias("vertex"))  # one to one on bigints
+    edges = join_dealt(spread(keys, distinct.count(), 1, 64, budget), 64, budget).where("b IS NOT NULL")
+    return distinct.select("fp", F.xxhash64("fp").alias("label")).join(contracted(edges), "label").select("fp", F.col("to").alias("label"))
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, budget: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links between
-    fingerprints that differ in at most `budget` bits, the document's own id included.
+    fingerprints that differ in at most `budget` bits, the document's own id included. Ids may be of any type that has an order.
 
     Equal fingerprints are one vertex, so copies never become pairs. Null or empty texts have fingerprint 0 and link
     like any other. Null ids are never smallest; a component of null ids only has component_id null. Repeated
@@ -236,3 +80,196 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     least = written(known.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("reached")), "least")
     final = written(known.join(least, "label", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "final")
     return docs.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similarity of shingle sets.
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A wide fingerprint, read as `tables` keys of `bits` bits, each joined on a trie of its own with a budget of `budget` bits.
+
+    A bit differs between two sets of Jaccard similarity s with chance acos(2s / (1 + s)) / pi, each bit by itself."""
+
+    tables: int
+    bits: int
+    budget: int
+    #: Differing bits of the whole fingerprint beyond which no pair is looked at: five deviations over what is expected.
+    most: int
+
+    @property
+    def words(self) -> int:
+        return -(-self.tables * self.bits // 64)
+
+
+def _within(bits: int, budget: int, chance: float) -> float:
+    return math.fsum(math.comb(bits, k) * chance**k * (1 - chance) ** (bits - k) for k in range(budget + 1))
+
+
+def plan(n: int, least: float = 0.8, miss: float = 1e-3, budget: int = 3) -> Plan:
+    """For n different sets: keys so long that one set in twenty at most has a random partner within budget, and as many
+    as leave a pair of similarity `least` out with chance `miss` at most."""
+    chance = math.acos(2 * least / (1 + least)) / math.pi
+    bits = next(b for b in (*range(24, 64, 4), 62) if n * _within(b, budget, 0.5) <= 0.05 or b == 62)
+    tables = max(1, math.ceil(math.log(miss) / math.log1p(-_within(bits, budget, chance))))
+    whole = -(-tables * bits // 64) * 64
+    return Plan(tables, bits, budget, math.ceil(whole * chance + 5 * math.sqrt(whole * chance * (1 - chance))))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x = x ^ (x >> np.uint64(29))
+    return x * _ODD ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The distinct word shingles, as sorted 64-bit names. Words as in fingerprints; fewer than a shingle has make one shingle."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    size = min(words, len(w))
+    out = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = _mix(out + h[k : k + len(out)])
+    return np.unique(out)
+
+
+def wide(names: np.ndarray, longs: int) -> np.ndarray:
+    """A fingerprint of 64 * longs bits of a set of names: bit i is set if it is in over half of the names' i-th bits."""
+    out = np.zeros(longs, "<u8")
+    for k in range(longs):
+        seed = np.uint64((k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+        votes = np.zeros(64, np.int64)
+        for a in range(0, len(names), _PART):
+            votes += _votes(_mix(names[a : a + _PART] ^ seed))
+        out[k] = np.packbits(votes * 2 > len(names), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _sets(df: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(row, set): df's rows by number, and the name of each one's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            names = [xxhash.xxh3_64_intdigest(shingles(x, words).astype("<u8").tobytes()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.array(names, np.uint64).view(np.int64))], names=["row", "set"])
+
+    return df.select("row", F.col(text_col).alias("text")).mapInArrow(run, "row bigint, set bigint")
+
+
+def _wide(texts: DataFrame, words: int, how: Plan) -> DataFrame:
+    """texts: (set, text). (set, wide), and an empty set's not: it is like no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide(s, how.words).tobytes() if len(s := shingles(x, words)) else None for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(found, pa.binary())], names=["set", "wide"])
+
+    return texts.mapInArrow(run, "set bigint, wide binary").where("wide IS NOT NULL")
+
+
+def _keys(wides: DataFrame, how: Plan) -> DataFrame:
+    """(lane, key, vertex): the plan's keys of each wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").reshape(n, how.words)
+            for t in range(how.tables):
+                at, shift = divmod(t * how.bits, 64)
+                key = x[:, at] >> np.uint64(shift)
+                if shift + how.bits > 64:
+                    key = key | x[:, at + 1] << np.uint64(64 - shift)
+                key &= np.uint64((1 << how.bits) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(key.view(np.int64)), batch.column("set")], names=["lane", "key", "vertex"])
+
+    return wides.mapInArrow(run, "lane int, key bigint, vertex bigint")
+
+
+def _held(pairs: DataFrame, of: DataFrame, value: str, check) -> DataFrame:  # noqa: ANN001
+    """The pairs (a, b) for whose values x, y, of the sets a and b, check(x, y) holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [check(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(told, pa.bool_()))
+
+    rows = pairs.join(of.selectExpr("set AS a", f"{value} AS x"), "a").join(of.selectExpr("set AS b", f"{value} AS y"), "b")
+    return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_sets(texts: DataFrame, words: int = 5, least: float = 0.8, how: Plan | None = None) -> DataFrame:
+    """texts: (set, text), a text for each different shingle set. (label, to): sets that are linked to others, and the same `to` for
+    those connected by links of Jaccard similarity `least` or more.
+
+    Candidates come from the plan's tries; the wide fingerprints and then the sets themselves decide. In a first pass, groups of many
+    near copies give the links that their components need; a second asks for every link of the keys left out between
+    different components of what the first one proved. So no candidate is lost to a bound."""
+    importable(texts.sparkSession)
+    n = texts.count()
+    how = how or plan(n, least)
+    wides = written(_wide(texts, words, how), "wide")
+    keys = _keys(wides, how)
+    dealt = spread(keys, n, how.tables, how.bits, how.budget)
+    found = written(join_dealt(dealt, how.bits, how.budget), "candidates")
+
+    def few(x: bytes, y: bytes) -> bool:
+        return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= how.most
+
+    def alike(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        if min(len(x), len(y)) < least * max(len(x), len(y)):
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= least * (len(x) + len(y) - both)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([shingles(x, words).astype("<u8").tobytes() for x in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("set"), names], names=["set", "names"])
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        pairs = written(_held(pairs.distinct(), wides, "wide", few), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+        sets = written(texts.join(wanted, "set", "left_semi").mapInArrow(listed, "set bigint, names binary"), "sets")
+        return written(_held(pairs, sets, "names", alike), "links")
+
+    links = proven(found.where("b IS NOT NULL"))
+    out = found.where("b IS NULL").select(F.col("a").alias("vertex")).distinct()
+    if not out.limit(1).count():
+        return contracted(links)
+    label = written(contracted(links), "labels")
+    open_ = written(out.join(label.withColumnRenamed("label", "vertex"), "vertex", "left").select("vertex", F.coalesce("to", "vertex").alias("label")), "open")
+    rest = spread(keys.join(open_, "vertex", "left_semi"), open_.count(), how.tables, how.bits, how.budget).join(open_, "vertex")
+    more = proven(written(join_dealt(rest, how.bits, how.budget, labelled=True), "rest"))
+    return contracted(links.union(more))
+
+
+def near_copies_dropped(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, least: float = 0.8, how: Plan | None = None) -> DataFrame:
+    """The rows of df that stay when of each group of near copies only one does.
+
+    Texts whose sets of word shingles have a Jaccard similarity of `least` or more are linked (similar_sets), groups are components of
+    links, and the row of the smallest id stays, of one id's the one of the smallest hash of its text; null ids come
+    last. Decided row by row: of repeated rows one stays, and an id's other texts are judged by themselves. Null texts are
+    empty, and empty ones are one group. Texts of any length. df may have any columns, and keeps them; it is read several times: pass
+    a table. An empty table gives an empty one."""
+    importable(df.sparkSession)
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    own = [f"own_{i}" for i in range(len(df.columns))]  # the rows, under names that are nobody's
+    rows = df.select(F.struct(*(F.col(f"`{c}`").alias(o) for c, o in zip(df.columns, own, strict=True))).alias("all"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), order.alias("place"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    sets = written(rows.select("row", "place").join(_sets(rows, "text", words), "row"), "row-sets")
+    one = written(sets.groupBy("set").agg(F.min(F.struct("place", "row")).alias("first")), "set-rows")
+    texts = written(one.select("set", F.col("first.row").alias("row")).join(rows.select("row", "text"), "row").select("set", "text"), "texts")
+    group = similar_sets(texts, words, least, how)
+    told = one.join(group.withColumnRenamed("label", "set"), "set", "left").groupBy(F.coalesce("to", "set").alias("group")).agg(F.min("first").alias("first"))
+    kept = written(told.select(F.col("first.row").alias("row")), "kept")
+    return rows.join(kept, "row", "left_semi").select(*(F.col(f"all.{o}").alias(c) for c, o in zip(df.columns, own, strict=True)))

@@ -13,6 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import put_aside, written
+
+#: Sources whose targets may be broadcast.
+SOURCES = 100_000
 #: Tokens are estimated from words, which SQL can count: `[^\x20\x09-\x0D]+`.
 _WORDS = r"size(filter(split(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
 
@@ -75,45 +79,47 @@ def solve(tokens: dict, entropy: float, repeats: float, budget: int | None = Non
     return Mixture(power, int(round(size(w))), tokens, w)
 
 
-def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", entropy: float = 0.97, repeats: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 1) -> tuple[DataFrame, Mixture]:
-    """df's rows with n_tokens, block, copies (how often the mixture has the row; 0: not at all), weight and order_key.
+def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", entropy: float = 0.97, repeats: float = 4.0, budget: int | None = None, blocks: int = 256, seed: int = 1, keep: list[str] | None = None) -> tuple[DataFrame, Mixture]:
+    """df's rows with the columns `keep` (by default all), n_tokens, block, copies (how often the mixture has the row; 0: not at all),
+    weight and order_key.
 
     A null source is a source of its own. Documents without a word have 0 tokens and one copy for each whole pass. Each source's
     documents are dealt to `blocks` by a hash of the id and its blocks permuted by seed. A budget of k whole passes and a
     rest gives each document k copies, and those before the rest's end in the permutation one more; the document that crosses
     the end is left out. Running sums go over block totals (blocks for each source) and, in the one block for each source that the
     end cuts, over its documents, so a source of any size is dealt over all tasks. Rows that are equal in id and size
-    are told apart arbitrarily. Columns of df named like a result are replaced. What reaches the driver is one total
-    for each source; an empty table gives an empty one.
+    are told apart arbitrarily. Columns of df named like a result, in any case, are replaced; no other name clashes. Words are
+    counted once, into a table with the columns to keep; texts of any length. What reaches the driver is one total
+    for each source, and its target is broadcast up to SOURCES of them; an empty table gives an empty one.
 
     order_key sorts the first pass: by a permutation of blocks over all sources, then within a block.
     """
     spark = df.sparkSession
-    made = ("n_tokens", "block", "copies", "weight", "order_key")
-    cols = [c for c in df.columns if c not in made]
-    rows = df.select(*cols, F.expr(_WORDS.format(f"`{text_col}`")).cast("bigint").alias("n_tokens"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"))
-    cells = df.select(F.col(source_col).alias("_s"), F.expr(_WORDS.format(f"`{text_col}`")).cast("bigint").alias("n"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(blocks)).cast("int").alias("_b"))
-    cells = cells.groupBy("_s", "_b").agg(F.sum("n").alias("n"))
-    kind = df.schema[source_col].dataType.simpleString()
-    mixture = solve({r[0]: r[1] for r in cells.groupBy("_s").agg(F.sum("n")).collect()}, entropy, repeats, budget)
+    aside, back = put_aside(df, ("n_tokens", "block", "copies", "weight", "order_key"), keep)
+    rows = df.select(*aside, df[f"`{source_col}`"].alias("s__"), df[f"`{id_col}`"].alias("id__"), df[f"`{text_col}`"].alias("text__"))
+    rows = rows.withColumn("n_tokens", F.expr(_WORDS.format("text__")).cast("bigint")).drop("text__")
+    rows = written(rows.withColumn("block", F.pmod(F.xxhash64("id__", F.lit(seed)), F.lit(blocks)).cast("int")), "mix")
+    cells = rows.groupBy("s__", "block").agg(F.sum("n_tokens").alias("n"))
+    mixture = solve({r[0]: r[1] for r in cells.groupBy("s__").agg(F.sum("n")).collect()}, entropy, repeats, budget)
     plan = []
     for s, n in mixture.tokens.items():
         passes, rest = divmod(mixture.target(s), n)
         plan.append((s, mixture.weights[s], int(passes), int(rest)))
-    targets = spark.createDataFrame(plan, f"_t {kind}, weight double, _passes bigint, _rest bigint")
-    turn = F.xxhash64(F.col("_b"), F.col("_s").cast("string"), F.lit(seed + 1))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy(turn, "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("_before", before).join(F.broadcast(targets), F.col("_s").eqNullSafe(F.col("_t")), "left")
-    cells = cells.select("_s", "_b", "n", "_before", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("_passes", F.lit(1)).alias("_passes"), F.coalesce("_rest", F.lit(0)).alias("_rest"))
-    cut = (F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("n") > F.col("_rest"))
-    cells = cells.withColumn("_cut", cut).withColumn("_whole", F.col("_before") + F.col("n") <= F.col("_rest"))
-    told = rows.join(cells.drop("n"), F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    inner = F.xxhash64(F.col(id_col), F.lit(seed + 2))
-    told = told.withColumn("_inner", inner)
-    order = F.sum("n_tokens").over(Window.partitionBy(source_col, "block").orderBy("_inner", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
-    extra = F.when(F.col("_whole"), F.col("n_tokens") > 0).when(F.col("_cut"), F.col("_before") + F.col("_upto") <= F.col("_rest")).otherwise(F.lit(False))
-    part = told.where("_cut").withColumn("_upto", order)
-    rest = told.where("NOT _cut").withColumn("_upto", F.lit(0).cast("bigint"))
-    key = F.struct(F.xxhash64(F.col("block"), F.lit(seed + 3)).alias("block"), F.col("_inner").alias("place"))
-    out = part.unionByName(rest).withColumn("copies", F.col("_passes") + extra.cast("bigint"))
-    return out.select(*cols, "n_tokens", "block", "copies", "weight", key.alias("order_key")), mixture
+    targets = spark.createDataFrame(plan, f"t__ {df.schema[source_col].dataType.simpleString()}, weight double, passes bigint, rest bigint")
+    targets = F.broadcast(targets) if len(plan) <= SOURCES else targets
+    turn = F.xxhash64(F.col("block"), F.col("s__").cast("string"), F.lit(seed + 1))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s__").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("before", before).join(targets, F.col("s__").eqNullSafe(F.col("t__")), "left")
+    cells = cells.select("s__", "block", "n", "before", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("passes", F.lit(1)).alias("passes"), F.coalesce("rest", F.lit(0)).alias("rest"))
+    cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))
+    cells = cells.withColumn("cut", cut).withColumn("whole", F.col("before") + F.col("n") <= F.col("rest"))
+    cells = cells.drop("n").withColumnsRenamed({"s__": "of__", "block": "at__"})
+    told = rows.join(cells, F.col("s__").eqNullSafe(F.col("of__")) & (F.col("block") == F.col("at__")))
+    told = told.withColumn("inner__", F.xxhash64(F.col("id__"), F.lit(seed + 2)))
+    order = F.sum("n_tokens").over(Window.partitionBy("s__", "block").orderBy("inner__", "id__", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
+    extra = F.when(F.col("whole"), F.col("n_tokens") > 0).when(F.col("cut"), F.col("before") + F.col("upto") <= F.col("rest")).otherwise(F.lit(False))
+    part = told.where("cut").withColumn("upto", order)
+    rest = told.where("NOT cut").withColumn("upto", F.lit(0).cast("bigint"))
+    key = F.struct(F.xxhash64(F.col("block"), F.lit(seed + 3)).alias("block"), F.col("inner__").alias("place"))
+    out = part.unionByName(rest).withColumn("copies", F.col("passes") + extra.cast("bigint"))
+    return out.select(*back, "n_tokens", "block", "copies", "weight", key.alias("order_key")), mixture

@@ -18,8 +18,8 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    told = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return told.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs)[0].selectExpr("* EXCEPT (text, order_key)", "order_key.block AS order_block", "order_key.place AS order_place")
+    told, _ = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    return told.selectExpr("* EXCEPT (order_key)", "order_key.block AS order_block", "order_key.place AS order_place")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,13 +25,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, by: str | None = None, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder (in a folder for each value of the column `by`), read again: cuts lineage, survives
+    lost executors."""
     path = f"{shared_dir(df.sparkSession)}/windrow-{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    out = df.write.options(**options)
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put_aside(df: DataFrame, made: tuple[str, ...], keep: list[str] | None = None) -> tuple[list[Column], list[Column]]:
+    """Columns of df (`keep`, by default all, but for those named like one of `made`, in any case) under names that no result or
+    helper has, and the same columns under their own names again."""
+    names = [c for c in (keep if keep is not None else df.columns) if c.lower() not in made]
+    return [df[f"`{c}`"].alias(f"own_{i}__") for i, c in enumerate(names)], [F.col(f"own_{i}__").alias(c) for i, c in enumerate(names)]
+
+
+def share_below(most: Column, there: Column) -> Column:
+    """The bigint below which a share most / there of all xxhash64 values lies, for any number of rows (1e11 rows still leave `most`)."""
+    return (F.lit(-(2.0**63)) + F.least(F.lit(1.0), most / there) * F.lit(2.0**64 - 2.0**12)).cast("bigint")
+
+
 def importable(spark: SparkSession) -> None:
     """Python workers find this package where the driver found it."""
     env = spark.sparkContext.environment

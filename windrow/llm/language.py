@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import importable
+from .shared import importable, put_aside, share_below
 
 DIM, SYMBOLS, UNDETERMINED = 1024, 64, "und"
+#: Languages whose sampling limits may be broadcast.
+LANGUAGES = 10_000
 #: Texts and characters whose vectors are made together.
 _TEXTS, _CHARS = 256, 1 << 20
 #: Rows of an Arrow batch that are taken together.
@@ -58,7 +60,7 @@ def vectors(texts: list[str | None]) -> np.ndarray:
         grams, size, b = [], 0, a
         while b < len(texts) and b - a < _TEXTS and (b == a or size < _CHARS):
             text = texts[b] or ""
-            grams.append(np.concatenate([_grams(text[i : i + _CHARS]) for i in range(0, max(len(text), 1), _CHARS)]))
+            grams.append(_grams(text))
             size += len(text)
             b += 1
         there = np.zeros(SYMBOLS**3, bool)
@@ -83,16 +85,18 @@ class Profiles:
     prototypes: np.ndarray  # one unit row for each language
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 20_000, key: Column | None = None) -> Profiles:
-    """Prototypes from the labelled rows of df, about `sample` of them at most, chosen by a hash of key (by default the text).
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 5_000, key: Column | None = None) -> Profiles:
+    """Prototypes from the labelled rows of df, about `sample` of each language at most, chosen by a hash of key (by default the text).
 
-    Rows with a null text or language, or without a letter, teach nothing. What reaches the driver is DIM numbers for each
-    language."""
+    Rows with a null text or language, or without a letter, teach nothing; repeated rows count each; an empty table gives profiles
+    of no language. Texts of any length. What reaches the driver is DIM numbers for each language."""
     importable(df.sparkSession)
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.select(F.lit(1)).count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(key if key is not None else F.col(text_col)), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    text, lang = df[f"`{text_col}`"], df[f"`{lang_col}`"].cast("string")
+    rows = df.where(lang.isNotNull() & text.isNotNull()).select(text.alias("text"), lang.alias("lang"), F.xxhash64(key if key is not None else text).alias("by"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    some = sizes.where(F.col("n") > sample).select(F.col("lang").alias("of"), share_below(F.lit(sample), F.col("n")).alias("below"))
+    some = F.broadcast(some) if some.count() <= LANGUAGES else some
+    rows = rows.join(some, F.col("lang") == F.col("of"), "left").where("below IS NULL OR by < below")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -104,7 +108,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
         for lang, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM), pa.int32()), pa.array(v, pa.int64())], names=["lang", "place", "v"])
 
-    parts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, place int, v bigint")
+    parts = rows.select("text", "lang").mapInArrow(run, "lang string, place int, v bigint")
     found: dict[str, np.ndarray] = {}
     for lang, place, v in parts.groupBy("lang", "place").agg(F.sum("v").alias("v")).collect():
         found.setdefault(lang, np.zeros(DIM))[place] = v
@@ -116,19 +120,21 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: li
     """The columns `keep` of df (by default all but those named like a result) with lang_pred and score (cosine, 0 to 1).
 
     A null text or one without a letter gets `und` and 0, as does every text if no language is known. Of equal cosines
-    the first language in alphabetical order wins. Every row is judged by its text alone; no shuffle."""
+    the first language in alphabetical order wins. Every row is judged by its whole text alone, repeated ones too; no shuffle. Columns
+    named like a result, in any case, are replaced; no other name clashes. An empty table gives an empty one."""
     importable(df.sparkSession)
-    cols = [c for c in (keep or df.columns) if c not in ("lang_pred", "score")]
-    rows = df.select(*cols, F.col(text_col).alias("_text"))
+    aside, back = put_aside(df, ("lang_pred", "score"), keep)
+    rows = df.select(*aside, df[f"`{text_col}`"].alias("text__"))
+    cols = rows.columns[:-1]
     names = np.array([*profiles.languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
-            v = vectors(batch.column("_text").to_pylist())
+            v = vectors(batch.column("text__").to_pylist())
             some = v.any(axis=1)
             cos = v @ profiles.prototypes.T if profiles.languages else np.zeros((len(v), 1), np.float32)
             best = np.where(some, cos.argmax(1), len(names) - 1)
             score = np.where(some, np.clip(cos.max(1, initial=-1), 0, 1), 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*cols, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, rows.select(*cols).schema.add("lang_pred", "string").add("score", "double"))
+    return rows.mapInArrow(run, rows.select(*cols).schema.add("lang_pred", "string").add("score", "double")).select(*back, "lang_pred", "score")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexing import BLOCK, END, LETTER, character_numbers, named
-from .shared import importable
+from .shared import importable, share_below
 
 #: Lengths of the word beginnings that count besides whole words (runs of letters, lower case).
 STEMS = (4, 5, 6, 7)
@@ -194,7 +194,7 @@ def learn(labels: DataFrame, texts: DataFrame, toxic_col: str = "toxic", text_co
 
     def chosen(df: DataFrame, there: int, most: int, seed: int) -> DataFrame:
         if there > most:
-            df = df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * most / there))
+            df = df.where(F.xxhash64(F.col(id_col), F.lit(seed)) < share_below(F.lit(most), F.lit(there)))
         return df
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

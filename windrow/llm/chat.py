@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,25 +90,85 @@ def format_chat(df: DataFrame, template: Template | None = None, conv_col: str =
     return rows.mapInArrow(run, f"conv_id {kind}, segment bigint, text string, loss boolean, valid boolean")
 
 
+@lru_cache(8)
+def _marks(controls: tuple[str, ...]) -> tuple[re.Pattern, int]:
+    """Any control string, the longest that fits; and the length of the longest."""
+    return re.compile("|".join(re.escape(x) for x in sorted(controls, key=len, reverse=True))), max(map(len, controls))
+
+
+class _Reader:
+    """Parses a conversation's formatted text, given in any pieces, by the control strings in it alone: a turn opens with its role's, and
+    what follows is its text up to its closing one. A control string anywhere else is an error. What is held is one turn."""
+
+    def __init__(self, template: Template):
+        self.template = template
+        self.opens = {before: (role, after) for role, (before, after, _) in template.roles.items()}
+        self.marks, self.longest = _marks(tuple(template.controls))
+        self.n, self.chars, self.loss_chars, self.valid = 0, 0, 0, True
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.role: str | None = None
+        self.close, self.held = "", ""
+
+    def read(self, text: str, last: bool = False) -> None:
+        self.chars += len(text)
+        text, at = self.held + text, 0
+        while mark := self.marks.search(text, at):
+            if not last and mark.start() + self.longest > len(text):
+                break  # it may be the beginning of a longer one
+            self._taken(text[at : mark.start()], mark[0])
+            at = mark.end()
+        self.held = text[at:]
+        if last and (self.held or self.role is not None):
+            raise ValueError(f"the text ends inside a turn: {self.held[:80]!r}")
+
+    def _taken(self, before: str, mark: str) -> None:
+        other, mid, end = self.template.other
+        plain = _plain(before, self.template.escape)
+        if self.role is None:
+            if before or (mark != other and mark not in self.opens):
+                raise ValueError(f"{before[:80] + mark!r} between turns")
+            self.role, self.close = ("", mid) if mark == other else self.opens[mark]
+            if mark == other:
+                return
+        elif mark != self.close:
+            raise ValueError(f"{mark!r} inside a turn that ends in {self.close!r}")
+        elif mark == mid:
+            self.role, self.close = plain, end
+        else:
+            self.turns.update(f"{plain}\n".encode())
+            self.role = None
+            return
+        self.n += 1
+        self.turns.update(f"{self.role}\n".encode())
+
+    def masked(self, text: str) -> None:
+        """A piece of the text that is under the loss."""
+        plain = _plain(text, self.template.escape)
+        self.loss.update(plain.encode())
+        self.loss_chars += len(plain)
+
+
 def read_chat(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """What the formatted text says, read back from segments by the template's marks alone: a row for each conversation.
+    """What the formatted text says, parsed back from the joined segments by the template's control strings alone: a row for each
+    conversation.
 
-    conv_id, n_turns, turns_sha256 (role, newline, text, newline for each turn), loss_chars and loss_sha256 (text under the loss,
-    unescaped), formatted_chars, valid. Streamed like format_chat: hashes take the text as it comes.
+    conv_id, n_turns, turns_sha256 (role, newline, text, newline for each turn), loss_chars and loss_sha256 (text under the loss mask,
+    unescaped), formatted_chars, valid (the role machine's verdict on all turns). Streamed like format_chat: a task holds a batch and
+    a turn. Text that is not what the template makes is an error. Segments of a null conv_id are one conversation; an empty table
+    gives an empty one.
     """
     template = template or Template()
     importable(segments.sparkSession)
     rows = segments.select("conv_id", "segment", "text", "loss", "valid").repartition(partitions(segments.sparkSession), "conv_id").sortWithinPartitions("conv_id", "segment")
     kind = rows.schema["conv_id"].dataType.simpleString()
-    opens = {before: (role, after) for role, (before, after, _) in template.roles.items()}
-    other, mid, end = template.other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, one = None, None
         out: list[tuple] = []
 
         def closed() -> tuple:
-            return (at, one["n"], one["turns"].hexdigest(), one["loss_n"], one["loss"].hexdigest(), one["chars"], one["valid"])
+            one.read("", last=True)
+            return (at, one.n, one.turns.hexdigest(), one.loss_chars, one.loss.hexdigest(), one.chars, one.valid)
 
         def flush(kind_: pa.DataType) -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
@@ -121,28 +182,11 @@ def read_chat(segments: DataFrame, template: Template | None = None) -> DataFram
                 if one is None or conv != at:
                     if one is not None:
                         out.append(closed())
-                    at, one = conv, {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_n": 0, "chars": 0, "valid": True, "role": None}
-                one["chars"] += len(text)
-                one["valid"] &= valid
-                if one["role"] is None:
-                    if text in opens:
-                        role, after = opens[text]
-                    else:
-                        role, after = _plain(text.removeprefix(other).removesuffix(mid), template.escape), end
-                    one |= {"role": role, "after": after, "body": False}
-                    one["n"] += 1
-                    one["turns"].update(f"{role}\n".encode())
-                elif not one["body"]:
-                    plain = _plain(text, template.escape)
-                    one["turns"].update(f"{plain}\n".encode())
-                    one["body"] = True
-                    if loss:
-                        one["loss"].update(plain.encode())
-                        one["loss_n"] += len(plain)
-                else:
-                    if text != one["after"]:
-                        raise ValueError(f"conversation {conv}: a turn of {one['role']} ends in {text!r}")
-                    one["role"] = None
+                    at, one = conv, _Reader(template)
+                one.read(text)
+                one.valid &= valid
+                if loss:
+                    one.masked(text)
             if out:
                 yield flush(kind_)
         if one is not None:

@@ -63,7 +63,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
     segments = written(chat.format_chat(rows.unionByName(hard)), "chat")
-    return chat.read_chat(segments).drop("valid")
+    return chat.read_chat(segments)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ GRAMS = (1, 2, 3)
 _UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1100, 0x11FF), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x318F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA960, 0xA97F), (0xAA60, 0xAA7F), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFF66, 0xFFDC), (0x16FE0, 0x18CFF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
 #: Confirmed texts that a feature must occur in.
 LEAST = 5
+#: Share of toxic texts among a feature's that lets it be learned, and features that are looked at, the commonest of confirmed texts.
+SCREEN, KNOWN = 0.3, 1 << 18
 #: Texts whose features are made together.
 _ROWS = 1000
 
@@ -139,11 +141,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 0.1, decay: float = 1e-4, least: int = LEAST, screen: float = 0.7) -> Scorer:
+def _shares(seen: np.ndarray, positive: int, elsewhere: np.ndarray, unlabelled: int, prior: float) -> np.ndarray:
+    """Of the texts that have a feature, the share that is toxic, by the prior and how many of two samples have it."""
+    return prior * (seen / positive) / np.maximum(elsewhere / unlabelled, 1e-12)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 150, rate: float = 0.1, decay: float = 1e-3, least: int = LEAST, screen: float = SCREEN) -> Scorer:
     """Minimises the non-negative risk, with the logistic loss, over weights of the features that `least` positive texts or
     more have and of whose texts a share of `screen` at least is toxic, as estimated from the prior and the two samples.
 
-    Other features cannot speak for toxicity, and weights against it would only tell lengths and languages apart."""
+    The others are everyday words: with them the risk can be met by telling lengths and languages apart (README has figures)."""
     none = Scorer(np.zeros(0, np.uint64), np.zeros(0), -10.0 if prior < 0.5 else 10.0)
     if not positive or not unlabelled or not 0 < prior < 1:
         return none
@@ -152,8 +159,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     everywhere = np.concatenate(unlabelled)
     at = np.searchsorted(known, everywhere)
     everywhere = at[known[np.minimum(at, len(known) - 1)] == everywhere] if len(known) else at[:0]
-    share = prior * (seen / len(positive)) / np.maximum(np.bincount(everywhere, minlength=len(known)) / len(unlabelled), 1e-12)
-    known = known[share >= screen]
+    known = known[_shares(seen, len(positive), np.bincount(everywhere, minlength=len(known)), len(unlabelled), prior) >= screen]
     if not len(known):
         return none
     np_, n = len(positive), len(positive) + len(unlabelled)
@@ -187,53 +193,75 @@ def learn(labels: DataFrame, texts: DataFrame, toxic_col: str = "toxic", text_co
 
     The class prior is the share of confirmed texts among the labelled. About `positives` and `unlabelled` rows at most
     are used, chosen by a hash of the id; the chosen positives' ids are broadcast, so no text is shuffled. What reaches the
-    driver is which features LEAST confirmed texts have, and which of those each chosen text has, not the texts. Null
-    texts are empty. Without a confirmed text every score is near 0."""
+    driver is how many texts have each of KNOWN features at most, and which of those that pass the screen each chosen text has, not
+    the texts. Null texts are empty, texts may be of any length, repeated rows count each, other columns are not read. Without a
+    confirmed text (an empty table) every score is near 0."""
     importable(labels.sparkSession)
     share = labels.agg(F.count(F.when(F.col(toxic_col) == 1, 1)).alias("p"), F.count(toxic_col).alias("n")).collect()[0]
+    prior = share["p"] / share["n"] if share["n"] else 0.0
 
     def chosen(df: DataFrame, there: int, most: int, seed: int) -> DataFrame:
         if there > most:
             df = df.where(F.xxhash64(F.col(id_col), F.lit(seed)) < share_below(F.lit(most), F.lit(there)))
         return df
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                f, _ = _features(whole.column("text").slice(k, _ROWS).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64))], names=["f"])
+    def of_known(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f, n = _features(texts)
+        own = known[np.minimum(np.searchsorted(known, f), len(known) - 1)] == f if len(known) else np.zeros(len(f), bool)
+        return f, n, own
 
-    ids = chosen(labels.where(F.col(toxic_col) == 1).select(id_col), share["p"], positives, 11).distinct()
-    texts = texts.select(id_col, F.col(text_col).alias("text"))
-    confirmed = texts.join(F.broadcast(ids), id_col, "left_semi").select("text")
-    rows = confirmed.mapInArrow(listed, "f bigint").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("f").toArrow()
-    known = np.sort(rows.column("f").to_numpy().view(np.uint64))
+    def counted(df: DataFrame, known: np.ndarray | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for k in range(0, whole.num_rows, _ROWS):
+                    texts = whole.column("text").slice(k, _ROWS).to_pylist()
+                    f, _, own = of_known(texts, known) if known is not None else (*_features(texts), slice(None))
+                    f, n = np.unique(f[own], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n, pa.int64())], names=["f", "n"])
+
+        return df.mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n"))
+
+    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        rows = df.toArrow()
+        f, n = rows.column("f").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        order = np.argsort(f)
+        return f[order], n[order]
 
-    def held(df: DataFrame) -> list[np.ndarray]:
+    def held(df: DataFrame, known: np.ndarray) -> list[np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for k in range(0, whole.num_rows, _ROWS):
-                    f, n = _features(whole.column("text").slice(k, _ROWS).to_pylist())
-                    own = known[np.minimum(np.searchsorted(known, f), len(known) - 1)] == f if len(known) else np.zeros(len(f), bool)
+                    f, n, own = of_known(whole.column("text").slice(k, _ROWS).to_pylist(), known)
                     end = np.cumsum(n)
                     yield pa.RecordBatch.from_arrays([pa.array([f[e - m : e][own[e - m : e]].astype("<u8").tobytes() for e, m in zip(end.tolist(), n.tolist(), strict=True)], pa.binary())], names=["f"])
 
         found = df.mapInArrow(run, "f binary").toArrow()
         return [np.frombuffer(f, "<u8") for f in sorted(found.column("f").to_pylist())]
 
-    positive, rest = held(confirmed), held(chosen(texts, texts.select(F.lit(1)).count(), unlabelled, 12).select("text"))
-    return fit(positive, rest, share["p"] / share["n"] if share["n"] else 0.0)
+    ids = chosen(labels.where(F.col(toxic_col) == 1).select(id_col), share["p"], positives, 11).distinct()
+    texts = texts.select(id_col, F.col(text_col).alias("text"))
+    confirmed = texts.join(F.broadcast(ids), id_col, "left_semi").select("text")
+    rest = chosen(texts, texts.select(F.lit(1)).count(), unlabelled, 12).select("text")
+    known, seen = arrays(counted(confirmed, None).where(F.col("n") >= LEAST).orderBy(F.col("n").desc(), "f").limit(KNOWN))
+    there, n = arrays(counted(rest, known))
+    elsewhere = np.zeros(len(known), np.int64)
+    elsewhere[np.searchsorted(known, there)] = n
+    sizes = [max(1, df.count()) for df in (confirmed, rest)]
+    used = known[_shares(seen, sizes[0], elsewhere, sizes[1], prior) >= SCREEN]
+    return fit(held(confirmed, used), held(rest, used), prior)
 
 
 def score(df: DataFrame, scorer: Scorer, text_col: str = "text", id_col: str = "doc_id", more: dict[str, Column] | None = None) -> DataFrame:
-    """The id, the columns `more`, score (0 to 1) and predicted (1 from 0.5 on) of each row, from its text alone. Null texts are empty."""
+    """The id, the columns `more`, score (0 to 1) and predicted (1 from 0.5 on) of each row, from its text alone. Null texts are empty and
+    get the score of a text without features; texts may be of any length; repeated rows are scored each; other columns are not
+    read, so none clashes; `more` may not name the id, score or predicted. An empty table gives an empty one."""
     importable(df.sparkSession)
-    rows = df.select(F.col(id_col), *(v.alias(k) for k, v in (more or {}).items()), F.col(text_col).alias("_text"))
+    rows = df.select(F.col(id_col), *(v.alias(k) for k, v in (more or {}).items()), F.col(text_col).alias("text__"))
     cols = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
-            s = _sigmoid(scorer.logits(*_features(batch.column("_text").to_pylist())))
+            s = _sigmoid(scorer.logits(*_features(batch.column("text__").to_pylist())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*cols, "score", "predicted"])
 
     return rows.mapInArrow(run, rows.select(*cols).schema.add("score", "double").add("predicted", "integer"))

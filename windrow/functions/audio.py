@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET, CEILING, MAX_GAIN, MIN_GAIN = -14.0, -1.0, 12.0, 0.5
+#: Lowest edge of the cepstral filters in Hz, a fixed value.
+LOWEST = 50.0
 
 
 def parsed(logs: DataFrame, column: str = "raw") -> DataFrame:
@@ -39,12 +41,14 @@ def mel_to_hz(mel: np.ndarray | float) -> np.ndarray | float:
 
 
 def mel_filters(n: int, n_fft: int, rate: int) -> np.ndarray:
-    """Triangular filters, evenly spaced in mel."""
-    bins = np.floor((n_fft + 1) * mel_to_hz(np.linspace(hz_to_mel(0.0), hz_to_mel(rate / 2), n + 2)) / rate).astype(int)
+    """Triangular filters, evenly spaced in mel from LOWEST Hz on. A side without width gets one bin."""
+    bins = np.floor((n_fft + 1) * mel_to_hz(np.linspace(hz_to_mel(LOWEST), hz_to_mel(rate / 2), n + 2)) / rate).astype(int)
     x = np.arange(n_fft // 2 + 1)
     out = np.zeros((n, len(x)))
     for m, (a, b, c) in enumerate(zip(bins, bins[1:], bins[2:], strict=False)):
-        up, down = (x - a) / max(b - a, 1), (c - x) / max(c - b, 1)
+        b += b == a
+        c += c == b
+        up, down = (x - a) / (b - a), (c - x) / max(c - b, 1)
         out[m] = np.where((x >= a) & (x < b), up, np.where((x >= b) & (x < c), down, 0.0))
     return out
 
@@ -57,7 +61,8 @@ def mfcc(signal: np.ndarray, rate: int = 16_000, coefficients: int = 13, frame:
         return np.zeros((0, coefficients))
     at = np.arange(0, len(x) - size + 1, step)[:, None] + np.arange(size)
     power = np.abs(np.fft.rfft(x[at] * np.hamming(size), n_fft)) ** 2 / n_fft
-    energy = np.log(np.maximum(power @ mel_filters(filters, n_fft, rate).T, 1e-10))
+    energy = power @ mel_filters(filters, n_fft, rate).T
+    energy = np.log(np.where(energy == 0, np.finfo(float).eps, energy))
     k, n = np.arange(coefficients)[:, None], np.arange(filters)
     dct = np.cos(np.pi * k * (2 * n + 1) / (2 * filters)) * np.where(k == 0, np.sqrt(1 / filters), np.sqrt(2 / filters))
     return energy @ dct.T

@@ -11,13 +11,14 @@ MIN_GAP, KEEP, MAX_FRACTION, MIN_CUT = 1.5, 0.4, 0.12, 0.1
 
 
 def gaps(words: DataFrame, clips: DataFrame) -> DataFrame:
-    """Silence between neighbouring words of a clip: (episode_id, clip, pos, gap_start, gap_end)."""
+    """Silence between neighbouring words of a clip: (episode_id, clip, pos, gap_start, gap_end). What is before its first word and after
+    its last is no gap."""
     return q(
         words.sparkSession,
         """
         WITH inside AS (SELECT c.episode_id, c.clip, c.start AS s, c.end AS e, w.pos, w.start, w.end FROM {clips} c JOIN {words} w ON w.episode_id = c.episode_id AND w.end > c.start AND w.start < c.end),
-        pairs AS (SELECT episode_id, clip, pos, greatest(end, s) AS gap_start, least(lead(start) OVER (PARTITION BY episode_id, clip ORDER BY pos), e) AS gap_end FROM inside)
-        SELECT * FROM pairs WHERE gap_end - gap_start > 0
+        pairs AS (SELECT episode_id, clip, pos, greatest(end, s) AS gap_start, lead(start) OVER (PARTITION BY episode_id, clip ORDER BY pos) AS next, e FROM inside)
+        SELECT episode_id, clip, pos, gap_start, least(next, e) AS gap_end FROM pairs WHERE next IS NOT NULL AND least(next, e) > gap_start
         """,
         words=words, clips=clips,
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import PROSE, Pack
+from ..config import INDONESIAN, Pack
 from ..operators import captions, export, punctuation, scoring, selection, timeline, topics
 from ..sources.staging import settled
 from ..sources.views import q
@@ -52,7 +52,7 @@ class Stopped(Exception):
     pass
 
 
-def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings: Settings | None = None, pack: Pack = PROSE, edits: DataFrame | None = None, on_progress: Callable[[str], None] | None = None, should_stop: Callable[[], bool] | None = None) -> Result:
+def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings: Settings | None = None, pack: Pack = INDONESIAN, edits: DataFrame | None = None, on_progress: Callable[[str], None] | None = None, should_stop: Callable[[], bool] | None = None) -> Result:
     """All stages up to, and without, media work, for every episode of segments and words at once.
 
     Punctuation is repaired where it lacks; all windows are scored and calibrated, near duplicates collapse, clips are chosen (or

@@ -19,7 +19,7 @@ def segments(of: str = "conversations") -> str:
     src = "SELECT conv_id AS episode_id, turn, role, coalesce(text, '') AS text FROM conversations" if of == "conversations" else "SELECT doc_id AS episode_id, 0 AS turn, source AS role, coalesce(text, '') AS text FROM documents"
     return rf"""
     turns AS ({src}),
-    cutup AS (SELECT episode_id, turn, role, regexp_extract_all(text, '[^.!?]+[.!?]+') AS parts FROM turns),
+    cutup AS (SELECT episode_id, turn, role, regexp_extract_all(text, '[^.!?]+[.!?]*') AS parts FROM turns),
     single AS (SELECT episode_id, turn, role, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cutup),
     asked AS (SELECT episode_id, turn, k, role AS speaker, CASE WHEN role = 'user' AND k = n THEN regexp_replace(part, '[.]$', '?') ELSE part END AS part FROM single),
     clean_ AS (SELECT episode_id, turn, k, speaker, regexp_replace(part, '^\s+|\s+$', '', 'g') AS text FROM asked),
@@ -56,7 +56,8 @@ def features(p: Pack = P) -> str:
 
 def windows(p: Pack = P) -> str:
     return f"""
-    win AS (SELECT a.episode_id, a.seg AS i, b.seg AS j, a.start, b."end" FROM feats a JOIN feats b ON a.episode_id = b.episode_id AND b.seg >= a.seg AND b."end" - a.start BETWEEN 15 AND 75),
+    win AS (SELECT a.episode_id, a.seg AS i, b.seg AS j, a.start, b."end" FROM feats a JOIN feats b ON a.episode_id = b.episode_id AND b.seg >= a.seg AND b."end" - a.start BETWEEN 15 AND 75
+      WHERE NOT EXISTS (SELECT 1 FROM feats x WHERE x.episode_id = a.episode_id AND x.seg BETWEEN a.seg AND b.seg AND x."end" - a.start > 75)),
     body AS (SELECT w.episode_id, w.i, w.j, w.start, w."end", string_agg(f.t, ' ' ORDER BY f.seg) AS text, CAST(count(*) AS INT) AS n, CAST(sum((f.content < 3)::INT) AS BIGINT) AS short,
         max(f.seg) FILTER (WHERE f.opens AND f."end" >= w."end" - {p.closing_window}) AS last_open, min(f.seg) FILTER (WHERE f.is_question) AS question
       FROM win w JOIN feats f ON f.episode_id = w.episode_id AND f.seg BETWEEN w.i AND w.j GROUP BY ALL),
@@ -267,7 +268,7 @@ ENERGY = """en AS (SELECT episode_id, k, t, seat, (center_x * 7 + seat * 0.25::D
     sm AS (SELECT e.episode_id, e.k, e.t, e.seat, round(avg(x.energy), 9) AS e FROM (SELECT e.*, m, unnest(range(-3, 4)) AS o FROM en e JOIN mx USING (episode_id)) e JOIN en x ON x.episode_id = e.episode_id AND x.seat = e.seat AND x.k = greatest(0, least(e.m, e.k + e.o)) GROUP BY ALL),
     sc AS (SELECT episode_id, seat, median(e) AS med, quantile_cont(e, 0.35) AS floor_ FROM sm GROUP BY ALL),
     nm AS (SELECT s.episode_id, k, t, seat, round(e / med, 9) AS v, round(floor_ / med, 9) AS f FROM sm s JOIN sc USING (episode_id, seat)),
-    tp AS (SELECT episode_id, k, t, arg_max(struct_pack(seat := seat, v := v, f := f), v) AS top, coalesce(list(v ORDER BY v DESC)[2], 0) AS nxt FROM nm GROUP BY ALL),
+    tp AS (SELECT episode_id, k, t, arg_max(struct_pack(seat := seat, v := v, f := f), (v, -seat)) AS top, coalesce(list(v ORDER BY v DESC)[2], 0) AS nxt FROM nm GROUP BY ALL),
     sy AS (SELECT episode_id, k, t, CASE WHEN top.v < round(top.f * 1.05::DOUBLE, 9) THEN -1 WHEN nxt <= 0 OR top.v > round(nxt * 1.25::DOUBLE, 9) THEN top.seat END AS says FROM tp),
     series AS (SELECT episode_id, k, t, nullif(last_value(says IGNORE NULLS) OVER (PARTITION BY episode_id ORDER BY k), -1) AS seat FROM sy)"""
 TURNS = 'turns_ AS (SELECT episode_id, seg AS turn, speaker, start, "end" - CASE WHEN seg % 5 = 0 THEN 1 ELSE 0 END::DOUBLE AS "end" FROM segments)'

@@ -35,12 +35,12 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def derived_segments(spark: SparkSession, sf_dir: str, of: str = "conversations") -> DataFrame:
     """Sentences of the table's texts on a synthetic clock: 0.25 s a word and, by seg % 4, 0.25, 0.5, 0.75 or 2 s of silence after.
 
-    All times are multiples of 1/4, so sums are exact in any order. The last sentence of a user's turn becomes a question."""
+    What follows a text's last stop is a sentence too. All times are multiples of 1/4, so sums are exact in any order. The last sentence of a user's turn becomes a question."""
     if of == "conversations":
         turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id AS episode_id", "turn", "role", "coalesce(text, '') AS text")
     else:
         turns = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id AS episode_id", "0L AS turn", "source AS role", "coalesce(text, '') AS text")
-    parts = turns.selectExpr("episode_id", "turn", "role", "regexp_extract_all(text, '[^.!?]+[.!?]+', 0) AS parts")
+    parts = turns.selectExpr("episode_id", "turn", "role", "regexp_extract_all(text, '[^.!?]+[.!?]*', 0) AS parts")
     rows = parts.selectExpr("episode_id", "turn", "role", "size(parts) AS n", "posexplode(parts) AS (k, part)")
     rows = rows.selectExpr("episode_id", "turn", "k", "role AS speaker", "CASE WHEN role = 'user' AND k = n - 1 THEN regexp_replace(part, '[.]$', '?') ELSE part END AS part")
     rows = rows.selectExpr("episode_id", "turn", "k", "speaker", "regexp_replace(part, '^\\\\s+|\\\\s+$', '') AS text").where("length(text) > 0")

@@ -70,6 +70,17 @@ def window_scores(s: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("episode_id", "i", "j", *(f"round({k}, 6) AS {k}" for k in scoring.SIGNALS), "round(raw_score, 6) AS raw_score")
 
 
+def _overlapped(s: SparkSession, d: str) -> DataFrame:
+    """Segments of speakers who talk over each other: some start together with the one before, some end after the next ones."""
+    return views.q(s, "SELECT episode_id, seg, CASE WHEN seg % 5 = 3 THEN lag(start, 1, start) OVER (PARTITION BY episode_id ORDER BY seg) ELSE start END AS start, end + CASE WHEN seg % 7 = 2 THEN 30D ELSE 0D END AS end, text, speaker FROM {f}", f=_segments(s, d))
+
+
+@query
+def overlapped_windows(s: SparkSession, d: str) -> DataFrame:
+    rows = scoring.scored(scoring.candidate_windows(scoring.features(_overlapped(s, d), PROSE), PROSE), PROSE)
+    return rows.selectExpr("episode_id", "i", "j", "start", "end", *(f"round({k}, 6) AS {k}" for k in scoring.SIGNALS), "round(raw_score, 6) AS raw_score")
+
+
 @query
 def calibrated_scores(s: SparkSession, d: str) -> DataFrame:
     # raw scores are rounded before they are ranked, so that ties do not hang on the order of additions
@@ -207,6 +218,14 @@ def deadair_timeline(s: SparkSession, d: str) -> DataFrame:
     return rows.selectExpr("episode_id", "clip", "size(spans) AS n_spans", "round(duration, 6) AS duration", "cuts", "round(removed, 6) AS removed")
 
 
+@query
+def deadair_tails(s: SparkSession, d: str) -> DataFrame:
+    """Clips with silence before the first word and after the last, and clips of one word."""
+    clips = views.q(s, "SELECT episode_id, clip, start - 3D AS start, end + 40D AS end FROM {c} UNION ALL SELECT episode_id, max(clip) + 1000, max(end) - 0.25D, max(end) + 60D FROM {c} GROUP BY episode_id", c=_clips(s, d))
+    rows = timeline.described(timeline.timelines(_words(s, d), clips))
+    return rows.selectExpr("episode_id", "clip", "size(spans) AS n_spans", "round(duration, 6) AS duration", "cuts", "round(removed, 6) AS removed")
+
+
 @query
 def remapped_words(s: SparkSession, d: str) -> DataFrame:
     words = _words(s, d)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import put_aside, shared_dir, written
+from .shared import drop_since, mark, put_aside, shared_dir, written
 
 #: Filter words of 64 bits: bounds on what is broadcast at once (a word has 16 bytes there).
 LEAST_WORDS, MOST_WORDS = 1 << 14, 1 << 21

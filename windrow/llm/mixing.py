@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .shared import put_aside, written
 
-#: Sources whose targets may be broadcast.
-SOURCES = 100_000
+#: Sources whose targets may be broadcast, and cells (blocks of sources).
+SOURCES, CELLS = 100_000, 200_000
 #: Tokens are estimated from words, which SQL can count: `[^\x20\x09-\x0D]+`.
 _WORDS = r"size(filter(split(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
 
@@ -90,7 +90,7 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_
     end cuts, over its documents, so a source of any size is dealt over all tasks. Rows that are equal in id and size
     are told apart arbitrarily. Columns of df named like a result, in any case, are replaced; no other name clashes. Words are
     counted once, into a table with the columns to keep; texts of any length. What reaches the driver is one total
-    for each source, and its target is broadcast up to SOURCES of them; an empty table gives an empty one.
+    for each source, and its target is broadcast up to SOURCES of them, its blocks up to CELLS; an empty table gives an empty one.
 
     order_key sorts the first pass: by a permutation of blocks over all sources, then within a block.
     """
@@ -100,7 +100,8 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_
     rows = rows.withColumn("n_tokens", F.expr(_WORDS.format("text__")).cast("bigint")).drop("text__")
     rows = written(rows.withColumn("block", F.pmod(F.xxhash64("id__", F.lit(seed)), F.lit(blocks)).cast("int")), "mix")
     cells = rows.groupBy("s__", "block").agg(F.sum("n_tokens").alias("n"))
-    mixture = solve({r[0]: r[1] for r in cells.groupBy("s__").agg(F.sum("n")).collect()}, entropy, repeats, budget)
+    totals = {r[0]: r[1] for r in cells.groupBy("s__").agg(F.sum("n")).collect()}
+    mixture = solve(totals, entropy, repeats, budget)
     plan = []
     for s, n in mixture.tokens.items():
         passes, rest = divmod(mixture.target(s), n)
@@ -114,6 +115,7 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))
     cells = cells.withColumn("cut", cut).withColumn("whole", F.col("before") + F.col("n") <= F.col("rest"))
     cells = cells.drop("n").withColumnsRenamed({"s__": "of__", "block": "at__"})
+    cells = F.broadcast(cells) if (len(totals) + 1) * blocks <= CELLS else cells
     told = rows.join(cells, F.col("s__").eqNullSafe(F.col("of__")) & (F.col("block") == F.col("at__")))
     told = told.withColumn("inner__", F.xxhash64(F.col("id__"), F.lit(seed + 2)))
     order = F.sum("n_tokens").over(Window.partitionBy("s__", "block").orderBy("inner__", "id__", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))

@@ -25,13 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that `written` has made and nothing has dropped, in the order they were made.
+_made: list[str] = []
+
+
 def written(df: DataFrame, label: str, by: str | None = None, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder (in a folder for each value of the column `by`), read again: cuts lineage, survives
     lost executors."""
     path = f"{shared_dir(df.sparkSession)}/windrow-{label}-{uuid.uuid4().hex}"
     out = df.write.options(**options)
     (out.partitionBy(by) if by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._windrow_path = path
+    return found
+
+
+def mark() -> int:
+    """To be given to drop_since: tables written from now on."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables written since the mark but for those of `keep`. Whatever is still to be read must be written or kept."""
+    kept = {getattr(x, "_windrow_path", None) for x in keep}
+    gone = [x for x in _made[since:] if x not in kept]
+    _made[since:] = [x for x in _made[since:] if x in kept]
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 def put_aside(df: DataFrame, made: tuple[str, ...], keep: list[str] | None = None) -> tuple[list[Column], list[Column]]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import importable, written
+from .shared import drop_since, importable, mark, written
 from .trie import contracted, join_dealt, spread
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +38,9 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    """How many of h have each bit; counted in bytes, 255 rows at a time."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).sum(0, dtype=np.int64)
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:
@@ -73,12 +75,14 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     like any other. Null ids are never smallest; a component of null ids only has component_id null. Repeated
     rows stay repeated. Other columns are not read; an empty table gives an empty one.
     """
+    since = mark()
     docs = written(fingerprints(df, text_col, id_col, words, seed), "fingerprints")
     distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = written(linked(distinct, budget), "labels")
     known = written(distinct.join(labels, "fp", "left"), "known")
     least = written(known.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("reached")), "least")
     final = written(known.join(least, "label", "left").select("fp", F.coalesce("reached", "least").alias("component_id")), "final")
+    drop_since(df.sparkSession, since, docs, final)
     return docs.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -150,28 +154,20 @@ def wide(names: np.ndarray, longs: int) -> np.ndarray:
     return out
 
 
-def _sets(df: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(row, set): df's rows by number, and the name of each one's shingle set."""
+def _marked(texts: DataFrame, words: int, how: Plan) -> DataFrame:
+    """texts: (row, text). (row, set, wide): the name of the text's shingle set and its wide fingerprint; an empty set has none, as it is
+    like no other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            names = [xxhash.xxh3_64_intdigest(shingles(x, words).astype("<u8").tobytes()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.array(names, np.uint64).view(np.int64))], names=["row", "set"])
+            sets = [shingles(x, words) for x in batch.column("text").to_pylist()]
+            names = np.array([xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) for s in sets], np.uint64)
+            wides = pa.array([wide(s, how.words).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names.view(np.int64)), wides], names=["row", "set", "wide"])
 
-    return df.select("row", F.col(text_col).alias("text")).mapInArrow(run, "row bigint, set bigint")
-
-
-def _wide(texts: DataFrame, words: int, how: Plan) -> DataFrame:
-    """texts: (set, text). (set, wide), and an empty set's not: it is like no other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [wide(s, how.words).tobytes() if len(s := shingles(x, words)) else None for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(found, pa.binary())], names=["set", "wide"])
-
-    return texts.mapInArrow(run, "set bigint, wide binary").where("wide IS NOT NULL")
+    return texts.select("row", "text").mapInArrow(run, "row bigint, set bigint, wide binary")
 
 
 def _keys(wides: DataFrame, how: Plan) -> DataFrame:
@@ -206,20 +202,18 @@ def _held(pairs: DataFrame, of: DataFrame, value: str, check) -> DataFrame:  # n
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_sets(texts: DataFrame, words: int = 5, least: float = 0.8, how: Plan | None = None) -> DataFrame:
-    """texts: (set, text), a text for each different shingle set. (label, to): sets that are linked to others, and the same `to` for
-    those connected by links of Jaccard similarity `least` or more.
+def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, least: float = 0.8) -> DataFrame:
+    """sets: (set, wide, row), each different shingle set once, with the row that has it in texts: (row, text). (label, to): sets that are
+    linked to others, and the same `to` for those connected by links of Jaccard similarity `least` or more.
 
     Candidates come from the plan's tries; the wide fingerprints and then the sets themselves decide. In a first pass, groups of many
     near copies give the links that their components need; a second asks for every link of the keys left out between
     different components of what the first one proved. So no candidate is lost to a bound."""
-    importable(texts.sparkSession)
-    n = texts.count()
-    how = how or plan(n, least)
-    wides = written(_wide(texts, words, how), "wide")
+    spark, since = sets.sparkSession, mark()
+    importable(spark)
+    wides = sets.where("wide IS NOT NULL").select("set", "wide")
     keys = _keys(wides, how)
-    dealt = spread(keys, n, how.tables, how.bits, how.budget)
-    found = written(join_dealt(dealt, how.bits, how.budget), "candidates")
+    found = written(join_dealt(spread(keys, sets.count(), how.tables, how.bits, how.budget), how.bits, how.budget), "candidates")
 
     def few(x: bytes, y: bytes) -> bool:
         return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= how.most
@@ -238,19 +232,20 @@ def similar_sets(texts: DataFrame, words: int = 5, least: float = 0.8, how: Plan
 
     def proven(pairs: DataFrame) -> DataFrame:
         pairs = written(_held(pairs.distinct(), wides, "wide", few), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        sets = written(texts.join(wanted, "set", "left_semi").mapInArrow(listed, "set bigint, names binary"), "sets")
-        return written(_held(pairs, sets, "names", alike), "links")
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "row"), "set"), "wanted")
+        names = written(texts.join(wanted, "row").select("set", "text").mapInArrow(listed, "set bigint, names binary"), "names")
+        return written(_held(pairs, names, "names", alike), "links")
 
     links = proven(found.where("b IS NOT NULL"))
+    label = contracted(links)
     out = found.where("b IS NULL").select(F.col("a").alias("vertex")).distinct()
-    if not out.limit(1).count():
-        return contracted(links)
-    label = written(contracted(links), "labels")
     open_ = written(out.join(label.withColumnRenamed("label", "vertex"), "vertex", "left").select("vertex", F.coalesce("to", "vertex").alias("label")), "open")
-    rest = spread(keys.join(open_, "vertex", "left_semi"), open_.count(), how.tables, how.bits, how.budget).join(open_, "vertex")
-    more = proven(written(join_dealt(rest, how.bits, how.budget, labelled=True), "rest"))
-    return contracted(links.union(more))
+    n = open_.count()
+    if n:
+        rest = spread(keys.join(open_, "vertex", "left_semi"), n, how.tables, how.bits, how.budget).join(open_, "vertex")
+        label = contracted(links.union(proven(written(join_dealt(rest, how.bits, how.budget, labelled=True), "rest"))))
+    drop_since(spark, since, label)
+    return label
 
 
 def near_copies_dropped(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, least: float = 0.8, how: Plan | None = None) -> DataFrame:
@@ -261,15 +256,20 @@ def near_copies_dropped(df: DataFrame, text_col: str = "text", id_col: str = "do
     last. Decided row by row: of repeated rows one stays, and an id's other texts are judged by themselves. Null texts are
     empty, and empty ones are one group. Texts of any length. df may have any columns, and keeps them; it is read several times: pass
     a table. An empty table gives an empty one."""
-    importable(df.sparkSession)
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    own = [f"own_{i}" for i in range(len(df.columns))]  # the rows, under names that are nobody's
-    rows = df.select(F.struct(*(F.col(f"`{c}`").alias(o) for c, o in zip(df.columns, own, strict=True))).alias("all"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), order.alias("place"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    sets = written(rows.select("row", "place").join(_sets(rows, "text", words), "row"), "row-sets")
-    one = written(sets.groupBy("set").agg(F.min(F.struct("place", "row")).alias("first")), "set-rows")
-    texts = written(one.select("set", F.col("first.row").alias("row")).join(rows.select("row", "text"), "row").select("set", "text"), "texts")
-    group = similar_sets(texts, words, least, how)
+    spark, since = df.sparkSession, mark()
+    importable(spark)
+    own = {c: f"own_{i}" for i, c in enumerate(df.columns)}  # the rows, under names that are nobody's
+    rows = df.select(*(F.col(f"`{c}`").alias(o) for c, o in own.items()), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "rows")
+    text, id_ = (F.col(next(o for c, o in own.items() if c.lower() == x.lower())) for x in (text_col, id_col))
+    how = how or plan(rows.count(), least)
+    texts = rows.select("row", text.alias("text"))
+    sets = written(_marked(texts, words, how), "sets")
+    place = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text"), "row").alias("first")
+    placed = sets.join(rows.select("row", place), "row")
+    one = written(placed.groupBy("set").agg(F.min("first").alias("first"), F.first("wide").alias("wide")), "one")
+    group = similar_sets(one.select("set", "wide", F.col("first.row").alias("row")), texts, how, words, least)
     told = one.join(group.withColumnRenamed("label", "set"), "set", "left").groupBy(F.coalesce("to", "set").alias("group")).agg(F.min("first").alias("first"))
     kept = written(told.select(F.col("first.row").alias("row")), "kept")
-    return rows.join(kept, "row", "left_semi").select(*(F.col(f"all.{o}").alias(c) for c, o in zip(df.columns, own, strict=True)))
+    drop_since(spark, since, rows, kept)
+    return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(c) for c, o in own.items()))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .huffman import STRIDE, Code, crc_join
 from .lexing import transducer
-from .shared import importable, partitions, shared_dir, written
+from .shared import drop_since, importable, mark, partitions, shared_dir, written
 
 #: Tokens of a piece at most, and of a block once it is closed.
 PIECE = BLOCK_TOKENS = 1 << 16
@@ -89,6 +89,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str | None = None, en
     spark = df.sparkSession
     importable(spark)
     path = path or f"{shared_dir(spark)}/windrow-tokens-{uuid.uuid4().hex}"
+    since = mark()
     pieces = written(_tokenized(df, tokenizer_path, end_id, text_col, id_col), "ids", compression="zstd")
     code = Code.of(*_counted(pieces), limit)
     spark.createDataFrame(list(zip(code.ids.tolist(), code.bits.tolist(), strict=True)), "token bigint, bits bigint").coalesce(1).write.parquet(f"{path}/code")
@@ -123,6 +124,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str | None = None, en
     placed = pieces.mapInArrow(coded, "part int, id bigint, uid bigint, piece int, last boolean, n int, payload binary, marks binary")
     placed = placed.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_first(), "uid", "piece")
     placed.mapInArrow(packed, _BLOCK_DDL).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    drop_since(spark, since)
     return path
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import importable, partitions, written
+from .shared import drop_since, importable, mark, partitions, written
 
 #: Node pairs taken at once, links after which classes are made, keys of a task's share that are joined at once (cut between node
 #: pairs), and keys that a dealt node pair may have.
@@ -230,7 +230,7 @@ def spread(rows: DataFrame, n: int, lanes: int, bits: int, budget: int) -> DataF
     there are levels left."""
     spark = rows.sparkSession
     tasks = partitions(spark)
-    down = max(0, math.ceil(math.log2(max(n, 1) * 8 / MOST)), min(6, math.ceil(math.log2(max(1, 4 * tasks / (2 * lanes))))) if n > 1000 else 0)
+    down = max(0, math.ceil(math.log2(max(n, 1) * 4 / MOST)), min(6, math.ceil(math.log2(max(1, tasks / lanes)))) if n > 1000 else 0)
     dealt = deal(rows, bits, budget, min(down, bits // 2 - 1))
     if n <= MOST:
         return dealt
@@ -306,7 +306,7 @@ def contracted(edges: DataFrame) -> DataFrame:
 
     Each round, a vertex moves to its smallest neighbour's smallest neighbour, and edges between the moved
     vertices remain. Labels should be scrambled: then paths to a local minimum are short and edges run out in a few rounds."""
-    spark = edges.sparkSession
+    spark, since = edges.sparkSession, mark()
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     moved = None
     while edges.limit(1).count():
@@ -321,4 +321,5 @@ def contracted(edges: DataFrame) -> DataFrame:
         else:
             moved = moved.join(jump.select(F.col("a").alias("to"), F.col("to").alias("next")), "to", "left").select("label", F.coalesce("next", "to").alias("to"))
         moved = written(moved, "moved")
+        drop_since(spark, since, edges, moved)
     return moved if moved is not None else spark.createDataFrame([], "label bigint, to bigint")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from windrow.llm import exact_dedup, language, mixing, packing, simhash
 from windrow.llm.queries import _tokenizer
-from windrow.llm.shared import shared_dir, table
+from windrow.llm.shared import drop_since, mark, shared_dir, table
 
 #: Documents whose best language is further off than this are rejected: from LETTERS[1] letters on, and up to LETTERS[0], where clean
 #: texts score like noise; in proportion between. README has the measured scores.
@@ -67,12 +67,27 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, _tokenizer("word_bpe_49k.json"), 2048, 0).drop("uid")
 
 
+_before: dict[str, int] = {}
+
+
+def _alone(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, dropping first what the stages before it wrote on the way: their results are written when it is called."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if stage is not language_id and "since" in _before:
+            drop_since(spark, _before["since"])
+        _before["since"] = mark()
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language_id),
-    ("exact_dedup", exact),
-    ("simhash_near_dedup", near),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("language_id", _alone(language_id)),
+    ("exact_dedup", _alone(exact)),
+    ("simhash_near_dedup", _alone(near)),
+    ("mixing", _alone(mixed)),
+    ("packing", _alone(packed)),
 ]
 #: Packing, hyperdimensional profiles and the trie join are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

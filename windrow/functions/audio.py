@@ -68,6 +68,12 @@ def mfcc(signal: np.ndarray, rate: int = 16_000, coefficients: int = 13, frame:
     return energy @ dct.T
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def cepstra(signals: pd.Series) -> pd.Series:
+    """mfcc of each signal."""
+    return signals.map(lambda x: None if x is None else mfcc(np.asarray(x, float)).tolist())
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def embedding(signals: pd.Series) -> pd.Series:
     """Mean and deviation of each coefficient but the first over a segment's samples; null if it is shorter than 0.4 s."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import PLATFORM_COLUMNS, PLATFORMS
 from ..sources.views import q
@@ -130,6 +132,16 @@ def fingerprint(edit: dict) -> str:
     return hashlib.sha1(json.dumps(own, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:12]
 
 
+def fingerprints(edit: Column) -> Column:
+    """fingerprint of a column of JSON edits; null counts as none."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(json.loads(t) if t else {}))
+
+    return run(edit)
+
+
 def edited(clips: DataFrame, rows: DataFrame) -> DataFrame:
     """clips with the start and end that edits (episode_id, clip, edit) set; a clip under one second is an error."""
     out = q(clips.sparkSession, "SELECT c.* EXCEPT (start, end), coalesce(e.edit.start, c.start) AS start, coalesce(e.edit.end, c.end) AS end, e.edit FROM {clips} c LEFT JOIN {rows} e USING (episode_id, clip)", clips=clips, rows=rows)

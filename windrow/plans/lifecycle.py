@@ -48,16 +48,25 @@ class Result:
     packs: DataFrame
 
 
+def remaining(spent: str, done: str, total: str) -> str:
+    """What to say of the time left, as an expression over seconds spent and files done; nothing before the first file is done."""
+    left = f"{spent} / {done} * ({total} - {done})"
+    return f"CASE WHEN {done} < 1 THEN '' WHEN {left} < 90 THEN format_string('  about %.0fs left', rint({left})) ELSE format_string('  about %.0fm left', rint({left} / 60)) END"
+
+
 class Stopped(Exception):
     pass
 
 
-def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings: Settings | None = None, pack: Pack = INDONESIAN, edits: DataFrame | None = None, on_progress: Callable[[str], None] | None = None, should_stop: Callable[[], bool] | None = None) -> Result:
+def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings: Settings | None = None, pack: Pack = INDONESIAN, edits: DataFrame | None = None, rejected: DataFrame | None = None, on_progress: Callable[[str], None] | None = None, should_stop: Callable[[], bool] | None = None) -> Result:
     """All stages up to, and without, media work, for every episode of segments and words at once.
 
     Punctuation is repaired where it lacks; all windows are scored and calibrated, near duplicates collapse, clips are chosen (or
     restored from settings.out), numbered, extended to their subject's end unless they would run into the next clip,
-    moved to a real opening, edited, trimmed of dead air and planned for each platform."""
+    moved to a real opening, edited, trimmed of dead air and planned for each platform.
+
+    rejected (episode_id, start, end): windows that were turned down. They are remembered in settings.out with those of earlier runs, and
+    none is chosen again while the settings that decide the pool stay the same."""
     settings = settings or Settings()
     said, stop = on_progress or (lambda _: None), should_stop or (lambda: False)
 
@@ -74,8 +83,15 @@ def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings
     stage("selection")
     state = export.State(spark, settings.out) if settings.out else None
     stored = state.load() if state and not settings.fresh else None
-    picks = settled(selection.chosen(pool, settings.clips), "picks")
-    slots = stored[0].get("slots") if stored and export.usable(stored[1], settings.decides_pool()) else None
+    fits = bool(stored) and export.usable(stored[1], settings.decides_pool())
+    turned = stored[0].get("rejected") if fits else None
+    if rejected is not None:
+        turned = rejected.select("episode_id", "start", "end") if turned is None else turned.unionByName(rejected.select("episode_id", "start", "end")).distinct()
+    turned = settled(turned, "rejected") if turned is not None else None
+    picks = settled(selection.chosen(pool, settings.clips, turned), "picks")
+    slots = stored[0].get("slots") if fits else None
+    if slots is not None and rejected is not None:  # an episode with a clip turned down is chosen anew
+        slots = slots.join(rejected.select("episode_id").distinct(), "episode_id", "left_anti")
     if slots is not None:
         old = settled(export.restored(slots, pool).selectExpr("episode_id", "i", "j", "start", "end", "cast(index AS int) AS clip"), "restored")
         picks = settled(old.unionByName(picks.join(old.select("episode_id").distinct(), "episode_id", "left_anti")), "picks")
@@ -98,7 +114,8 @@ def dry_run(spark: SparkSession, segments: DataFrame, words: DataFrame, settings
     packs = captions.packs(texts, pack)
     if state:
         found = picks.selectExpr("episode_id", "clip AS index", "start", "end")
-        state.save({"slots": found}, settings.decides_pool(), {"style": settings.style, "resolution": settings.resolution})
+        tables = {"slots": settled(found, "slots")} | ({"rejected": turned} if turned is not None else {})
+        state.save(tables, settings.decides_pool(), {"style": settings.style, "resolution": settings.resolution})
         export.preview(clips).write.mode("overwrite").json(f"{settings.out.rstrip('/')}/dry_run")
     stage("done")
     return Result(pool, clips, lines, export.plan(clips, rows, settings.style, settings.resolution), export.unplaced(clips, rows), packs)

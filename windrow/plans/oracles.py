@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..config import PROSE, Pack
+from .extra_oracles import more
 
 P = PROSE
 
@@ -393,3 +394,5 @@ ORACLES |= {
       x AS (SELECT episode_id, k, unnest(h) AS a, unnest(p) AS b FROM p WHERE p IS NOT NULL), c AS (SELECT episode_id, k, 1 - corr(a, b) AS d FROM x GROUP BY ALL)
       SELECT episode_id, count(*) AS frames, count(*) FILTER (WHERE abs(d) < 1e-9) AS repeats, round(median(d), 4) AS median, round(quantile_cont(d, 0.95), 4) AS p95, round(max(d), 4) AS top FROM c GROUP BY ALL""",
 }
+
+ORACLES |= more(segments(), CLIPS, WORDS, PLAT, PLAN, SLOTS, _with)

@@ -18,7 +18,15 @@ def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
     episode_id is the file's name. A missing speaker is null and a missing confidence 1.0."""
     raw = spark.read.schema(f"segments array<{SEGMENT}>, words array<{WORD}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    raw = raw.selectExpr("regexp_extract(_metadata.file_name, '([^/]*?)([.]json)?$', 1) AS episode_id", "segments", "words")
+    return _opened(raw.selectExpr("regexp_extract(_metadata.file_name, '([^/]*?)([.]json)?$', 1) AS episode_id", "segments", "words"))
+
+
+def read_transcript_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_transcripts for files of one transcript a line, each with its `episode_id`: files split, so that any number is read in parallel."""
+    return _opened(spark.read.schema(f"episode_id string, segments array<{SEGMENT}>, words array<{WORD}>").option("mode", "FAILFAST").json(path))
+
+
+def _opened(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = raw.selectExpr("episode_id", "CASE WHEN segments IS NULL OR words IS NULL THEN raise_error('a transcript needs segments and words') ELSE segments END AS segments", "words")
     segments = raw.selectExpr("episode_id", "posexplode(segments) AS (seg, s)").selectExpr("episode_id", "seg", "s.start", "s.end", "s.text", "s.speaker")
     words = raw.selectExpr("episode_id", "posexplode(words) AS (pos, w)").selectExpr("episode_id", "pos", "w.start", "w.end", "w.text", "coalesce(w.confidence, 1D) AS confidence")

@@ -22,7 +22,7 @@ DIM, SYMBOLS, UNDETERMINED = 1024, 64, "und"
 #: Languages whose sampling limits may be broadcast.
 LANGUAGES = 10_000
 #: Texts and characters whose vectors are made together.
-_TEXTS, _CHARS = 256, 1 << 20
+_TEXTS, _CHARS = 128, 1 << 19
 #: Rows of an Arrow batch that are taken together.
 _ROWS = 1024
 _SCALE = 1 << 20

@@ -27,7 +27,7 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -35,8 +35,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Classes of characters. UNSURE: not in Python's Unicode tables, so the library is asked.
 END, LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE, STMD, R, V, E, LL, UNSURE = range(13)
-#: Characters taken at once, entries, ids and characters that a table may hold before it is emptied, and characters of a chunk.
-BLOCK, ENTRIES, IDS, CHUNK = 1 << 19, 1 << 20, 1 << 23, 256
+#: Characters taken at once, entries, and ids or characters that a table may hold before it is emptied, and characters of a chunk.
+BLOCK, ENTRIES, IDS, CHUNK = 1 << 18, 1 << 20, 1 << 23, 256
 #: Columns that all chunks run through from every state before those whose states have met go on from one.
 MEET = 16
 #: Symbols of a pretoken up to which it is merged together with others.
@@ -317,9 +317,7 @@ class Transducer:
     """The tokenizer in a tokenizers JSON file, compiled. Files that it was not made for are left to the library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = {x["content"]: x for x in spec["added_tokens"]}
@@ -345,6 +343,13 @@ class Transducer:
         self.salt = 0
         self._empty()
 
+    @cached_property
+    def library(self):  # noqa: ANN201
+        """Loaded where it is asked for: few texts need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _empty(self) -> None:
         self.table = Table((ENTRIES * 2 - 1).bit_length())
         self.offsets, self.ids, self.n_ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0

@@ -24,7 +24,7 @@ from .shared import drop_since, importable, mark, partitions, written
 
 #: Node pairs taken at once, links after which classes are made, keys of a task's share that are joined at once (cut between node
 #: pairs), and keys that a dealt node pair may have.
-PAIRS, LINKS, ROWS, MOST = 1 << 18, 1 << 16, 1 << 20, 1 << 21
+PAIRS, LINKS, ROWS, MOST = 1 << 16, 1 << 16, 1 << 18, 1 << 21
 #: Levels that a node pair with too many keys is dealt down at once.
 DOWN = 4
 _DEALT = "lane int, depth int, a bigint, b bigint, key bigint, vertex bigint"
@@ -89,7 +89,8 @@ def trie_join(keys: np.ndarray, first: np.ndarray, mid: np.ndarray, last: np.nda
     stack = []
     for d in np.unique(depth).tolist():
         g = depth == d
-        stack.append((bits - 1 - d, first[g], np.where(same, last, mid)[g], np.where(same, first, mid)[g], last[g], spent[g].astype(np.int64)))
+        ends = (first[g], np.where(same, last, mid)[g], np.where(same, first, mid)[g], last[g])
+        stack.append((bits - 1 - d, *(x.astype(np.int32) for x in ends), spent[g].astype(np.int8)))
     links: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
@@ -125,7 +126,7 @@ def trie_join(keys: np.ndarray, first: np.ndarray, mid: np.ndarray, last: np.nda
             continue
         leaf = (b - a == 1) & (d - c == 1)
         if bit < 0:  # equal keys
-            wide = (b - a) * (d - c) > PAIRS
+            wide = (b - a).astype(np.int64) * (d - c) > PAIRS
             if wide.any():
                 half = [x[wide] for x in (a, b, c, d, cost)]
                 m, o, own = (half[0] + half[1]) // 2, (half[2] + half[3]) // 2, half[0] == half[2]
@@ -135,7 +136,7 @@ def trie_join(keys: np.ndarray, first: np.ndarray, mid: np.ndarray, last: np.nda
             leaf = ~wide
         p, q, r, s = (x[leaf] for x in (a, b, c, d))
         if len(p):
-            size = (q - p) * (s - r)
+            size = (q - p).astype(np.int64) * (s - r)
             which = np.repeat(np.arange(len(p)), size)
             k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
             x, y = p[which] + k // (s - r)[which], r[which] + k % (s - r)[which]
@@ -151,12 +152,13 @@ def trie_join(keys: np.ndarray, first: np.ndarray, mid: np.ndarray, last: np.nda
         if not len(a):
             continue
         if bit not in zeros:
-            zeros[bit] = np.concatenate([[0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1) == 0)])
+            zeros[bit] = np.concatenate([np.zeros(1, np.int32), np.cumsum((keys >> np.uint64(bit)) & np.uint64(1) == 0, dtype=np.int32)])
         z = zeros[bit]
         m, o = a + z[b] - z[a], c + z[d] - z[c]
         own = a == c
         limit = budget // 2 if bit >= bits - bits // 2 else budget
         more = cost < limit
+        cost = cost.astype(np.int8)
         nxt = [np.concatenate(x) for x in zip((a, m, c, o, cost), (m, b, o, d, cost), (a[more], m[more], o[more], d[more], cost[more] + 1), *([(x[~own & more] for x in (m, b, c, o, cost + 1))]), strict=True)]
         live = (nxt[0] < nxt[1]) & (nxt[2] < nxt[3])
         stack.append((bit - 1, *(x[live] for x in nxt)))

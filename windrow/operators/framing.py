@@ -152,17 +152,35 @@ def recommended(frames: DataFrame, cuts: DataFrame, min_detection: float = 0.4,
 
 def smoothed(frames: DataFrame) -> DataFrame:
     """frames with smooth (a running median of 9, then a running mean of 5, the ends repeated) and eased (a follower that moves
-    22 % of the way to it, and only if it is more than 0.01 off). Folds over an episode's centres in order."""
-    lists = q(frames.sparkSession, "SELECT episode_id, array_sort(collect_list(struct(k, t, center_x AS x))) AS v FROM {frames} GROUP BY episode_id", frames=frames)
-    lists = lists.selectExpr("episode_id", "v", "transform(v, z -> z.x) AS x", "size(v) AS n")
+    22 % of the way to it, and only if it is more than 0.01 off).
+
+    Medians and means slide over rows; only the follower, whose place hangs on the one before, is a loop over an episode's numbers, one
+    Arrow group each."""
+    s = frames.sparkSession
+
+    def near(column: str, width: int) -> str:
+        half = f"{width} div 2"
+        return f"""filter(transform(sequence(-{width // 2}, {width // 2}), o -> CASE WHEN abs(o) <= w{width} div 2 THEN
+          CASE WHEN i + o < 0 THEN first_ WHEN i + o > n - 1 THEN last_ ELSE {column}[least(i, {half}) + o] END END), x -> x IS NOT NULL)"""
+
     odd = "least({0}, n - CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END)"
-    lists = lists.selectExpr("*", f"{odd.format(9)} AS w9", f"{odd.format(5)} AS w5")
-    near = "transform(sequence(i - {w} div 2, i + {w} div 2), p -> {a}[least(greatest(p, 0), n - 1)])"
-    lists = lists.selectExpr("*", f"CASE WHEN n < 3 THEN x ELSE transform(sequence(0, n - 1), i -> array_sort({near.format(w='w9', a='x')})[w9 div 2]) END AS med")
-    lists = lists.selectExpr("*", f"CASE WHEN n < 3 THEN x ELSE transform(sequence(0, n - 1), i -> aggregate({near.format(w='w5', a='med')}, 0D, (s, y) -> s + y) / w5) END AS smooth")
-    ease = "aggregate(slice(smooth, 2, n), array(smooth[0]), (a, y) -> concat(a, array(CASE WHEN abs(y - element_at(a, -1)) > 0.01D THEN element_at(a, -1) + (y - element_at(a, -1)) * 0.22D ELSE element_at(a, -1) END)))"
-    lists = lists.selectExpr("episode_id", f"inline(arrays_zip(transform(v, z -> z.k), transform(v, z -> z.t), smooth, {ease})) AS (k, t, smooth, eased)")
-    return lists
+    w = "WINDOW e AS (PARTITION BY episode_id ORDER BY k), a AS (PARTITION BY episode_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    rows = q(s, f"SELECT episode_id, k, t, center_x AS x, cast(row_number() OVER e - 1 AS int) AS i, cast(count(*) OVER a AS int) AS n, first_value(center_x) OVER a AS first_, last_value(center_x) OVER a AS last_, collect_list(center_x) OVER (PARTITION BY episode_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS xs FROM {{frames}} {w}", frames=frames)
+    rows = rows.selectExpr("*", f"{odd.format(9)} AS w9", f"{odd.format(5)} AS w5")
+    rows = rows.selectExpr("* EXCEPT (xs)", f"CASE WHEN n < 3 THEN x ELSE array_sort({near('xs', 9)})[w9 div 2] END AS med")
+    rows = q(s, f"SELECT * EXCEPT (first_, last_), first_value(med) OVER a AS first_, last_value(med) OVER a AS last_, collect_list(med) OVER (PARTITION BY episode_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ms FROM {{rows}} {w}", rows=rows)
+    rows = rows.selectExpr("episode_id", "k", "t", f"CASE WHEN n < 3 THEN x ELSE aggregate({near('ms', 5)}, 0D, (s, y) -> s + y) / w5 END AS smooth")
+
+    def follow(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("k")
+        at, eased = None, []
+        for y in frame["smooth"].tolist():
+            at = y if at is None else at + (y - at) * 0.22 if abs(y - at) > 0.01 else at
+            eased.append(at)
+        return frame.assign(eased=eased)
+
+    kind = frames.schema["episode_id"].dataType.simpleString()
+    return rows.groupBy("episode_id").applyInPandas(follow, f"episode_id {kind}, k int, t double, smooth double, eased double")
 
 
 def jerkiness(frames: DataFrame, column: str = "center_x") -> DataFrame:
@@ -324,21 +342,11 @@ def split_crops(seat_rows: DataFrame, src_w: int, src_h: int, panels: int = 2, z
 def merged_boxes(rows: DataFrame, overlap: float = 0.4) -> DataFrame:
     """rows (episode_id, k, n, x, y, w, h): raw boxes of a frame in the order found -> kept boxes with votes: a box that overlaps a kept one
     by more than `overlap` (intersection over union) votes for the first such, and is gone."""
-    kind = rows.schema["episode_id"].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for _, x, y, w, h in frame.sort_values("n")[["n", "x", "y", "w", "h"]].itertuples(index=False):
-            for b in kept:
-                side = max(0, min(x + w, b[0] + b[2]) - max(x, b[0])) * max(0, min(y + h, b[1] + b[3]) - max(y, b[1]))
-                if side / (w * h + b[2] * b[3] - side) > overlap:
-                    b[4] += 1
-                    break
-            else:
-                kept.append([x, y, w, h, 1])
-        return pd.DataFrame([(frame["episode_id"].iloc[0], frame["k"].iloc[0], *b) for b in kept], columns=["episode_id", "k", "x", "y", "w", "h", "votes"])
-
-    return rows.groupBy("episode_id", "k").applyInPandas(run, f"episode_id {kind}, k int, x int, y int, w int, h int, votes int")
+    side = "greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y))"
+    first = f"array_position(transform(kept, z -> {side} / cast(z.w * z.h + b.w * b.h - {side} AS double) > {overlap}D), true)"
+    fold = f"""aggregate(boxes, filter(transform(boxes, b -> struct(b.x, b.y, b.w, b.h, 1 AS votes)), z -> false),
+      (kept, b) -> CASE WHEN {first} = 0 THEN array_append(kept, struct(b.x, b.y, b.w, b.h, 1 AS votes)) ELSE transform(kept, (z, i) -> struct(z.x, z.y, z.w, z.h, z.votes + cast(i + 1 = {first} AS int) AS votes)) END)"""
+    return q(rows.sparkSession, f"SELECT episode_id, k, inline({fold}) FROM (SELECT episode_id, k, array_sort(collect_list(struct(n, x, y, w, h))) AS boxes FROM {{rows}} GROUP BY episode_id, k)", rows=rows)
 
 
 def tracked(samples: DataFrame, faces: DataFrame, near: float = 0.12) -> DataFrame:

@@ -412,7 +412,7 @@ def framing_mode(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def smoothed_path(s: SparkSession, d: str) -> DataFrame:
-    return framing.smoothed(views.keyframes(s, d)).selectExpr("episode_id", "k", "t", "round(smooth, 9) AS smooth", "round(eased, 9) AS eased")
+    return framing.smoothed(views.keyframes(s, d)).selectExpr("episode_id", "k", "t", "round(smooth, 6) AS smooth", "round(eased, 6) AS eased")
 
 
 @query

@@ -34,6 +34,32 @@ MFCC = f"""sig AS (SELECT s_suppkey, CAST(n AS INT) AS n, ((n * (s_suppkey % 37
     pw AS (SELECT s_suppkey, frame, bin, (pow(sum(x * c), 2) + pow(sum(x * s), 2)) / 512 AS p FROM fr, (SELECT CAST(bin AS INT) AS bin FROM range(0, 257) r(bin)) k JOIN turn ON m = (k.bin * n) % 512 GROUP BY ALL),
     en AS (SELECT s_suppkey, frame, filter, sum(p * weight) AS e FROM pw JOIN mel USING (bin) GROUP BY ALL),
     lg AS (SELECT s_suppkey, frame, filter, ln(CASE WHEN e = 0 THEN {2.0**-52} ELSE e END) AS e FROM en)"""
+# a running median and mean with clamped places, and the follower one frame after another
+SMOOTH = """nf AS (SELECT episode_id, k, t, center_x AS x, count(*) OVER (PARTITION BY episode_id) AS n FROM frames),
+    wd AS (SELECT *, least(9, n - (n % 2 = 0)::INT) // 2 AS h9, least(5, n - (n % 2 = 0)::INT) // 2 AS h5 FROM nf),
+    md AS (SELECT a.episode_id, a.k, a.t, a.n, a.h5, CASE WHEN a.n < 3 THEN a.x ELSE median(b.x) END AS m FROM (SELECT *, unnest(range(-h9, h9 + 1)) AS o FROM wd) a JOIN nf b ON b.episode_id = a.episode_id AND b.k = greatest(0, least(a.n - 1, a.k + a.o)) GROUP BY a.episode_id, a.k, a.t, a.n, a.h5, a.x),
+    sm AS MATERIALIZED (SELECT a.episode_id, a.k, a.t, CASE WHEN a.n < 3 THEN a.m ELSE avg(b.m) END AS s FROM (SELECT *, unnest(range(-h5, h5 + 1)) AS o FROM md) a JOIN md b ON b.episode_id = a.episode_id AND b.k = greatest(0, least(a.n - 1, a.k + a.o)) GROUP BY a.episode_id, a.k, a.t, a.n, a.m),
+    ea AS (SELECT episode_id, k, s AS e FROM sm WHERE k = 0 UNION ALL SELECT e.episode_id, s.k, CASE WHEN abs(s.s - e.e) > 0.01 THEN e.e + (s.s - e.e) * 0.22::DOUBLE ELSE e.e END FROM ea e JOIN sm s ON s.episode_id = e.episode_id AND s.k = e.k + 1)"""
+# runs of shots one after another
+MODES = """pc AS MATERIALIZED (SELECT c.episode_id, c.clip, greatest(k.start, c.start) AS a, least(k."end", c."end") AS b, CASE WHEN k.st THEN 'blur' ELSE 'face' END AS mode, row_number() OVER (PARTITION BY c.episode_id, c.clip ORDER BY k.shot) AS r FROM tclips c JOIN kinds k ON k.episode_id = c.episode_id AND k.start < c."end" AND k."end" > c.start),
+    f1 AS (SELECT episode_id, clip, r, [{'a': a, 'b': b, 'm': mode}] AS runs FROM pc WHERE r = 1
+      UNION ALL SELECT f.episode_id, f.clip, p.r, CASE WHEN f.runs[-1].m = p.mode THEN list_append(f.runs[:-2], {'a': f.runs[-1].a, 'b': p.b, 'm': p.mode}) ELSE list_append(f.runs, {'a': p.a, 'b': p.b, 'm': p.mode}) END FROM f1 f JOIN pc p ON p.episode_id = f.episode_id AND p.clip = f.clip AND p.r = f.r + 1),
+    l1 AS MATERIALIZED (SELECT episode_id, clip, arg_max(runs, r) AS runs FROM f1 GROUP BY ALL),
+    f2 AS (SELECT episode_id, clip, 1 AS r, runs, runs[:1] AS kept FROM l1
+      UNION ALL SELECT episode_id, clip, r + 1, runs, CASE WHEN runs[r + 1].b - runs[r + 1].a < 1.5 OR kept[-1].m = runs[r + 1].m THEN list_append(kept[:-2], {'a': kept[-1].a, 'b': runs[r + 1].b, 'm': kept[-1].m}) ELSE list_append(kept, runs[r + 1]) END FROM f2 WHERE r < len(runs)),
+    l2 AS (SELECT episode_id, clip, arg_max(kept, r) AS kept FROM f2 GROUP BY ALL),
+    un AS (SELECT episode_id, clip, len(kept) AS n, unnest(kept) AS z, generate_subscripts(kept, 1) AS i FROM l2)"""
+COVER = """held_ AS (SELECT c.clip, c.start AS s, c."end" AS e, f.*, f.t BETWEEN c.start + 1 AND c."end" - 1 AS mid FROM tclips c JOIN frames f ON f.episode_id = c.episode_id AND f.t BETWEEN c.start AND c."end"),
+    inn AS (SELECT *, row_number() OVER (PARTITION BY episode_id, clip ORDER BY t) AS r, min(t) OVER (PARTITION BY episode_id, clip) AS t0 FROM (SELECT * FROM held_ h WHERE mid OR NOT EXISTS (SELECT 1 FROM held_ x WHERE x.episode_id = h.episode_id AND x.clip = h.clip AND x.mid))),
+    sti AS (SELECT a.episode_id, a.clip, a.s, a.e, a.t, a.t0, a.confident, -(coalesce(avg(b.motion) FILTER (WHERE b.motion >= 0), 0) + (max(b.center_x) - min(b.center_x)) * 4) AS still FROM inn a JOIN inn b ON b.episode_id = a.episode_id AND b.clip = a.clip AND abs(a.r - b.r) <= 2 GROUP BY ALL),
+    val AS (SELECT x.episode_id, x.clip, x.t, x.t0, x.still, (SELECT arg_min(l.value, l.pos) FROM spoken l WHERE l.episode_id = x.episode_id AND x.t BETWEEN l.start AND l."end" AND l."end" > x.s AND l.start < x.e) AS value FROM sti x WHERE x.confident),
+    cand AS (SELECT *, round(still + coalesce(value, 0) * 8 - (t - t0) * 0.02::DOUBLE, 9) AS score FROM val v WHERE value IS NOT NULL OR NOT EXISTS (SELECT 1 FROM val y WHERE y.episode_id = v.episode_id AND y.clip = v.clip AND y.value IS NOT NULL))"""
+MERGED = """bo AS MATERIALIZED (SELECT l_orderkey % 16 AS episode_id, CAST(l_orderkey % 997 AS INT) AS k, CAST(l_partkey % 40 AS INT) AS x, CAST(l_suppkey % 30 AS INT) AS y, CAST(l_quantity + 20 AS INT) AS w, CAST(l_quantity + 30 AS INT) AS h, row_number() OVER (PARTITION BY l_orderkey % 16, l_orderkey % 997 ORDER BY l_orderkey * 8 + l_linenumber, l_partkey % 40, l_suppkey % 30, l_quantity) AS r FROM lineitem),
+    kb AS (SELECT episode_id, k, r, [{'x': x, 'y': y, 'w': w, 'h': h, 'v': 1}] AS kept FROM bo WHERE r = 1
+      UNION ALL SELECT g.episode_id, g.k, g.r, CASE WHEN hit IS NULL THEN list_append(kept, {'x': x, 'y': y, 'w': w, 'h': h, 'v': 1}) ELSE list_transform(kept, lambda z, i: {'x': z.x, 'y': z.y, 'w': z.w, 'h': z.h, 'v': z.v + (i = hit)::INT}) END
+      FROM (SELECT f.episode_id, f.k, b.r, f.kept, b.x, b.y, b.w, b.h, nullif(list_position(list_transform(f.kept, lambda z: (greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y)))::DOUBLE
+        / (z.w * z.h + b.w * b.h - greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y))) > 0.4), true), 0) AS hit FROM kb f JOIN bo b ON b.episode_id = f.episode_id AND b.k = f.k AND b.r = f.r + 1) g),
+    lb AS (SELECT episode_id, k, unnest(arg_max(kept, r)) AS z FROM kb GROUP BY episode_id, k)"""
 HEIGHTS = [720, 1280, 1920]
 
 
@@ -51,7 +77,7 @@ def _tags() -> list[tuple]:
     return rows
 
 
-def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str, with_) -> dict[str, str]:  # noqa: ANN001
+def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str, frames: str, shots: str, static: str, track_clips: str, tokens: str, spoken: str, with_) -> dict[str, str]:  # noqa: ANN001
     plain = "trim(lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')))"
     shape = "(CASE WHEN substr({0}, 1, 1) = upper(substr({0}, 1, 1)) AND substr({0}, 1, 1) <> lower(substr({0}, 1, 1)) THEN CASE WHEN {0} = upper({0}) THEN upper({1}) ELSE upper({1}[1]) || {1}[2:] END ELSE {1} END)"
     return {
@@ -77,6 +103,11 @@ def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str
         "remaining_times": "WITH x AS (SELECT o_orderkey, CAST(o_orderkey % 5 AS INT) AS done, (o_orderkey % 97)::DOUBLE AS spent FROM orders) SELECT o_orderkey, CASE WHEN done < 1 THEN '' WHEN spent / done * (9 - done) < 90 THEN printf('  about %.0fs left', spent / done * (9 - done)) ELSE printf('  about %.0fm left', spent / done * (9 - done) / 60) END AS \"left\" FROM x",
         "mel_weights": with_(MEL) + " SELECT filter, bin, round(weight, 9) AS weight FROM mel WHERE weight <> 0",
         "mfcc_frames": with_(MEL, MFCC) + f" SELECT s_suppkey, frame, CAST(k AS INT) AS k, round(sum(e * cos(pi() * k * (2 * filter + 1) / 52)) * CASE WHEN k = 0 THEN {math.sqrt(1 / 26)} ELSE {math.sqrt(2 / 26)} END, 6) AS value FROM lg, range(0, 13) r(k) GROUP BY s_suppkey, frame, k",
+        "smoothed_path": with_(frames, SMOOTH) + " SELECT s.episode_id, s.k, s.t, round(s.s, 6) AS smooth, round(e.e, 6) AS eased FROM sm s JOIN ea e USING (episode_id, k)",
+        "segment_modes": with_(frames, shots, static, track_clips, MODES) + """ SELECT u.episode_id, u.clip, CAST(i - 1 AS INT) AS run, CASE WHEN i = 1 THEN c.start ELSE z.a END AS start, CASE WHEN i = n THEN c."end" ELSE z.b END AS "end", z.m AS mode FROM un u JOIN tclips c USING (episode_id, clip)
+          UNION ALL SELECT episode_id, clip, 0, start, "end", 'face' FROM tclips c WHERE NOT EXISTS (SELECT 1 FROM un u WHERE u.episode_id = c.episode_id AND u.clip = c.clip)""",
+        "cover_time": with_(frames, track_clips, segments, words, tokens, spoken, COVER) + " SELECT DISTINCT ON (episode_id, clip) episode_id, clip, t FROM cand ORDER BY episode_id, clip, score DESC, t DESC",
+        "merged_boxes": with_(MERGED) + " SELECT episode_id, k, z.x AS x, z.y AS y, z.w AS w, z.h AS h, z.v AS votes FROM lb",
         # the cursor: a phrase of two words is taken whole, any other word by itself
         "lexicon_words": with_(segments, words, 'nx AS (SELECT *, lead(text) OVER (PARTITION BY episode_id ORDER BY pos) AS t2, lead("end") OVER (PARTITION BY episode_id ORDER BY pos) AS e2 FROM wd1)',
             f"mt AS (SELECT *, CASE {plain.format(chr(116) + 'ext || chr(32) || t2')} WHEN 'the that' THEN 'Thethat' WHEN 'le la' THEN 'La' WHEN 'in der' THEN 'inder' END AS new FROM nx)",

@@ -519,7 +519,7 @@ def tracked_path(s: SparkSession, d: str) -> DataFrame:
     frames = views.keyframes(s, d)
     faces = frames.where("confident").selectExpr("episode_id", "k", "explode(array(struct(center_x AS x, 1D AS score), struct(1 - center_x AS x, 0.75D AS score))) AS f").selectExpr("episode_id", "k", "f.x AS center_x", "f.score AS score")
     track = settled(framing.tracked(frames.select("episode_id", "k", "t", "motion"), faces), "track")
-    return framing.crop_path(track, _shots(s, d), 0.158203125).selectExpr("episode_id", "k", "t", "confident", "round(center_x, 9) AS center_x")
+    return framing.crop_path(track, _shots(s, d), 0.158203125).selectExpr("episode_id", "k", "t", "confident", "round(center_x, 6) AS center_x")
 
 
 @query

@@ -60,6 +60,34 @@ MERGED = """bo AS MATERIALIZED (SELECT l_orderkey % 16 AS episode_id, CAST(l_ord
       FROM (SELECT f.episode_id, f.k, b.r, f.kept, b.x, b.y, b.w, b.h, nullif(list_position(list_transform(f.kept, lambda z: (greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y)))::DOUBLE
         / (z.w * z.h + b.w * b.h - greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y))) > 0.4), true), 0) AS hit FROM kb f JOIN bo b ON b.episode_id = f.episode_id AND b.k = f.k AND b.r = f.r + 1) g),
     lb AS (SELECT episode_id, k, unnest(arg_max(kept, r)) AS z FROM kb GROUP BY episode_id, k)"""
+# the face followed one frame after another, then SMOOTH within each shot
+TRACK = """fo AS (SELECT episode_id, k, CASE WHEN confident THEN center_x END AS x FROM frames WHERE k = 0
+      UNION ALL SELECT o.episode_id, f.k, CASE WHEN NOT f.confident THEN o.x WHEN o.x IS NULL OR abs(f.center_x - o.x) < 0.12 THEN f.center_x WHEN abs(1 - f.center_x - o.x) < 0.12 THEN 1 - f.center_x ELSE f.center_x END FROM fo o JOIN frames f ON f.episode_id = o.episode_id AND f.k = o.k + 1),
+    whole AS MATERIALIZED (SELECT * FROM frames),
+    part AS MATERIALIZED (SELECT f.episode_id * 100000 + s.shot AS episode_id, row_number() OVER (PARTITION BY f.episode_id, s.shot ORDER BY f.k) - 1 AS k, f.k AS t, coalesce(o.x, 0.5) AS center_x FROM whole f JOIN fo o ON o.episode_id = f.episode_id AND o.k = f.k JOIN shots s ON s.episode_id = f.episode_id AND f.t >= s.start AND f.t < s."end")"""
+EXTENDED = """lim AS (SELECT episode_id, quantile_cont(level, 0.65) AS high, quantile_cont(level, 0.25) AS low FROM levels GROUP BY ALL),
+    own AS (SELECT episode_id, clip, start, "end", greatest("end" - 25, start) AS fl FROM clips),
+    c0 AS (SELECT o.episode_id, o.clip, w.word, sum((w.start >= o.fl AND w."end" <= o."end")::INT) AS l, sum((w.start >= o."end" AND w.start < o."end" + 20)::INT) AS r FROM own o JOIN cw w ON w.episode_id = o.episode_id AND w.start >= o.fl AND w.start < o."end" + 20 GROUP BY ALL),
+    l0 AS (SELECT episode_id, clip, CASE WHEN sum(l * l) > 0 AND sum(r * r) > 0 THEN sum(l * r) / (sqrt(sum(l * l)::DOUBLE) * sqrt(sum(r * r)::DOUBLE)) ELSE 0 END AS level FROM c0 GROUP BY ALL),
+    go0 AS (SELECT o.*, m.low FROM own o JOIN lim m USING (episode_id) LEFT JOIN l0 USING (episode_id, clip) WHERE coalesce(l0.level, 0) >= m.high AND NOT EXISTS (SELECT 1 FROM bounds b WHERE b.episode_id = o.episode_id AND b.t > o.start + 20 AND b.t < o."end")),
+    go1 AS (SELECT g.*, least("end" + 75, start + 150) AS cap0 FROM go0 g),
+    go2 AS (SELECT g.*, coalesce((SELECT min(b.t) FROM bounds b WHERE b.episode_id = g.episode_id AND b.t > g."end" + 1 AND b.t <= g.cap0), g.cap0) AS cap FROM go1 g),
+    st0 AS (SELECT g.episode_id, g.clip, g.low, g.fl, g."end" AS e, f."end" AS t FROM go2 g JOIN feats f ON f.episode_id = g.episode_id AND f."end" >= g."end" + 6 AND f."end" <= g.cap),
+    st1 AS (SELECT s.episode_id, s.clip, s.low, s.t, w.word, sum((w.start >= s.fl AND w."end" <= s.e)::INT) AS l, sum((w.start >= s.t AND w.start < s.t + 20)::INT) AS r FROM st0 s LEFT JOIN cw w ON w.episode_id = s.episode_id GROUP BY ALL),
+    st2 AS (SELECT episode_id, clip, low, t, CASE WHEN sum(l * l) > 0 AND sum(r * r) > 0 THEN sum(l * r) / (sqrt(sum(l * l)::DOUBLE) * sqrt(sum(r * r)::DOUBLE)) ELSE 0 END AS level FROM st1 GROUP BY ALL),
+    tu AS (SELECT episode_id, clip, min(t) AS turn FROM st2 WHERE level <= low GROUP BY ALL),
+    la AS (SELECT g.episode_id, g.clip, g.start, g."end", f."end" AS ne, f.seg FROM go2 g JOIN tu USING (episode_id, clip) JOIN feats f ON f.episode_id = g.episode_id AND f."end" > g."end" AND f."end" <= tu.turn AND f.clean),
+    lo AS (SELECT l.*, (SELECT max(o.seg) FROM feats o WHERE o.episode_id = l.episode_id AND o.opens AND o.start >= l.start AND o."end" <= l.ne AND o."end" >= l.ne - {closing}) AS o FROM la l),
+    ok AS (SELECT * FROM lo l WHERE o IS NULL OR ((SELECT coalesce(sum(f.content), 0) FROM feats f WHERE f.episode_id = l.episode_id AND f.seg > l.o AND f.seg <= l.seg) >= {payload} AND NOT EXISTS (SELECT 1 FROM feats n WHERE n.episode_id = l.episode_id AND n.opens AND n.start >= l.ne AND n.start < l.ne + {spill})))"""
+# titles: a word after another into lines
+TITLES = """tl AS MATERIALIZED (SELECT episode_id, seg, length(upper_) AS len, list_filter(regexp_split_to_array(upper_, '\\s+'), lambda w: w <> '') AS w FROM (SELECT episode_id, seg, upper(replace(text, 'ß', 'SS')) AS upper_ FROM segments)),
+    tt AS (SELECT *, greatest(1, len // least(3, greatest(1, CAST(ceil(len / 18.0) AS INT)))) AS target FROM tl),
+    wr AS (SELECT episode_id, seg, 0 AS r, w, target, CAST([] AS VARCHAR[]) AS lines, '' AS cur, 0 AS used FROM tt
+      UNION ALL SELECT episode_id, seg, r + 1, w, target,
+        CASE WHEN len(lines) < 3 AND cur <> '' AND length(cur) + 1 + length(w[r + 1]) > greatest(target, length(w[r + 1])) THEN list_append(lines, cur) ELSE lines END,
+        CASE WHEN len(lines) = 3 THEN cur WHEN cur = '' OR length(cur) + 1 + length(w[r + 1]) > greatest(target, length(w[r + 1])) THEN w[r + 1] ELSE cur || ' ' || w[r + 1] END,
+        CASE WHEN len(lines) < 3 AND cur <> '' AND length(cur) + 1 + length(w[r + 1]) > greatest(target, length(w[r + 1])) THEN used + len(string_split(cur, ' ')) ELSE used END FROM wr WHERE r < len(w)),
+    fin AS (SELECT * FROM wr WHERE r = len(w))"""
 HEIGHTS = [720, 1280, 1920]
 
 
@@ -77,7 +105,7 @@ def _tags() -> list[tuple]:
     return rows
 
 
-def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str, frames: str, shots: str, static: str, track_clips: str, tokens: str, spoken: str, with_) -> dict[str, str]:  # noqa: ANN001
+def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str, frames: str, shots: str, static: str, track_clips: str, tokens: str, spoken: str, topic: tuple, pack, with_) -> dict[str, str]:  # noqa: ANN001
     plain = "trim(lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')))"
     shape = "(CASE WHEN substr({0}, 1, 1) = upper(substr({0}, 1, 1)) AND substr({0}, 1, 1) <> lower(substr({0}, 1, 1)) THEN CASE WHEN {0} = upper({0}) THEN upper({1}) ELSE upper({1}[1]) || {1}[2:] END ELSE {1} END)"
     return {
@@ -108,6 +136,9 @@ def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str
           UNION ALL SELECT episode_id, clip, 0, start, "end", 'face' FROM tclips c WHERE NOT EXISTS (SELECT 1 FROM un u WHERE u.episode_id = c.episode_id AND u.clip = c.clip)""",
         "cover_time": with_(frames, track_clips, segments, words, tokens, spoken, COVER) + " SELECT DISTINCT ON (episode_id, clip) episode_id, clip, t FROM cand ORDER BY episode_id, clip, score DESC, t DESC",
         "merged_boxes": with_(MERGED) + " SELECT episode_id, k, z.x AS x, z.y AS y, z.w AS w, z.h AS h, z.v AS votes FROM lb",
+        "tracked_path": with_(frames, shots, TRACK, SMOOTH.replace("FROM frames)", "FROM part)")) + " SELECT f.episode_id, f.k, f.t, f.confident, round(least(greatest(e.e, 0.158203125), 0.841796875), 6) AS center_x FROM sm s JOIN ea e ON e.episode_id = s.episode_id AND e.k = s.k JOIN whole f ON f.episode_id = s.episode_id // 100000 AND f.k = s.t",
+        "clip_extension": with_(*topic, clips, EXTENDED.format(closing=pack.closing_window, payload=pack.payload_words, spill=min(pack.spillover_window, 20))) + ' SELECT episode_id, clip, start, max(ne) AS "end", max(ne) - "end" AS added FROM ok GROUP BY episode_id, clip, start, "end" HAVING max(ne) > "end" + 1',
+        "wrapped_titles": with_(segments, TITLES) + """ SELECT episode_id, seg, array_to_string(CASE WHEN len(lines) < 3 THEN CASE WHEN cur <> '' THEN list_append(lines, cur) ELSE lines END WHEN used < len(w) THEN list_append(lines[:2], regexp_replace(lines[3], '[,;:]+$', '') || '...') ELSE lines END, '|') AS lines FROM fin""",
         # the cursor: a phrase of two words is taken whole, any other word by itself
         "lexicon_words": with_(segments, words, 'nx AS (SELECT *, lead(text) OVER (PARTITION BY episode_id ORDER BY pos) AS t2, lead("end") OVER (PARTITION BY episode_id ORDER BY pos) AS e2 FROM wd1)',
             f"mt AS (SELECT *, CASE {plain.format(chr(116) + 'ext || chr(32) || t2')} WHEN 'the that' THEN 'Thethat' WHEN 'le la' THEN 'La' WHEN 'in der' THEN 'inder' END AS new FROM nx)",

@@ -395,4 +395,4 @@ ORACLES |= {
       SELECT episode_id, count(*) AS frames, count(*) FILTER (WHERE abs(d) < 1e-9) AS repeats, round(median(d), 4) AS median, round(quantile_cont(d, 0.95), 4) AS p95, round(max(d), 4) AS top FROM c GROUP BY ALL""",
 }
 
-ORACLES |= more(segments(), CLIPS, WORDS, PLAT, PLAN, SLOTS, FRAMES, SHOTS, STATIC, TCLIPS, TOKENS, spoken(), _with)
+ORACLES |= more(segments(), CLIPS, WORDS, PLAT, PLAN, SLOTS, FRAMES, SHOTS, STATIC, TCLIPS, TOKENS, spoken(), (segments(), features(), topic_words("segments"), GAPSIM, DEPTHS, BOUNDS, LEVELS), P, _with)

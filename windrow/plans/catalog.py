@@ -221,7 +221,7 @@ def deadair_timeline(s: SparkSession, d: str) -> DataFrame:
 @query
 def deadair_tails(s: SparkSession, d: str) -> DataFrame:
     """Clips with silence before the first word and after the last, and clips of one word."""
-    clips = views.q(s, "SELECT episode_id, clip, start - 3D AS start, end + 40D AS end FROM {c} UNION ALL SELECT episode_id, max(clip) + 1000, max(end) - 0.25D, max(end) + 60D FROM {c} GROUP BY episode_id", c=_clips(s, d))
+    clips = views.q(s, "SELECT episode_id, clip, start - 3D AS start, end + 40.03125D AS end FROM {c} UNION ALL SELECT episode_id, max(clip) + 1000, max(end) - 0.25D, max(end) + 60D FROM {c} GROUP BY episode_id", c=_clips(s, d))
     rows = timeline.described(timeline.timelines(_words(s, d), clips))
     return rows.selectExpr("episode_id", "clip", "size(spans) AS n_spans", "round(duration, 6) AS duration", "cuts", "round(removed, 6) AS removed")
 

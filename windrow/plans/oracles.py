@@ -289,7 +289,7 @@ ORACLES |= {
     "word_gaps": _with(*BASE, GAPS) + " SELECT * FROM gaps",
     "deadair_cuts": _with(*BASE, GAPS, CUTS) + " SELECT episode_id, clip, round(cut_from, 6) AS cut_from, round(cut_to, 6) AS cut_to FROM cuts",
     "deadair_timeline": _with(*BASE, GAPS, CUTS, SPANS) + " SELECT c.episode_id, c.clip, CAST(count(*) AS INT) AS n_spans, round(sum(b - a), 6) AS duration, CAST(count(*) - 1 AS INT) AS cuts, round(greatest(0, c.\"end\" - c.start - sum(b - a)), 6) AS removed FROM clips c JOIN kept k ON k.episode_id = c.episode_id AND k.clip = c.clip GROUP BY c.episode_id, c.clip, c.start, c.\"end\"",
-    "deadair_tails": _with(segments(), "clips0 AS" + CLIPS.removeprefix("clips AS"), 'clips AS (SELECT episode_id, clip, start - 3 AS start, "end" + 40 AS "end" FROM clips0 UNION ALL SELECT episode_id, max(clip) + 1000, max("end") - 0.25::DOUBLE, max("end") + 60 FROM clips0 GROUP BY episode_id)', WORDS, GAPS, CUTS, SPANS)
+    "deadair_tails": _with(segments(), "clips0 AS" + CLIPS.removeprefix("clips AS"), 'clips AS (SELECT episode_id, clip, start - 3 AS start, "end" + 40.03125::DOUBLE AS "end" FROM clips0 UNION ALL SELECT episode_id, max(clip) + 1000, max("end") - 0.25::DOUBLE, max("end") + 60 FROM clips0 GROUP BY episode_id)', WORDS, GAPS, CUTS, SPANS)
     + " SELECT c.episode_id, c.clip, CAST(count(*) AS INT) AS n_spans, round(sum(b - a), 6) AS duration, CAST(count(*) - 1 AS INT) AS cuts, round(greatest(0, c.\"end\" - c.start - sum(b - a)), 6) AS removed FROM clips c JOIN kept k ON k.episode_id = c.episode_id AND k.clip = c.clip GROUP BY c.episode_id, c.clip, c.start, c.\"end\"",
     "remapped_words": _with(*BASE, GAPS, CUTS, SPANS) + """, mapped AS (SELECT i.episode_id, i.clip, i.pos, w.text, sum(greatest(0, least(i.start - a, b - a))) AS start, sum(greatest(0, least(i."end" - a, b - a))) AS "end", row_number() OVER (PARTITION BY i.episode_id, i.clip ORDER BY i.pos) AS r
       FROM ins i JOIN kept k ON k.episode_id = i.episode_id AND k.clip = i.clip JOIN words w ON w.episode_id = i.episode_id AND w.pos = i.pos GROUP BY i.episode_id, i.clip, i.pos, w.text)

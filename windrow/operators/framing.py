@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..sources.views import q
+from .topics import BUCKET
 
 STATIC_MOTION, MIN_RUN = 1.2, 1.5
 
@@ -222,10 +223,13 @@ def cover_times(frames: DataFrame, clips: DataFrame, spoken: DataFrame | None =
 
 
 def speakers_at(words: DataFrame, turns: DataFrame) -> DataFrame:
-    """words with the speaker of the first turn that holds their midpoint; null where none does."""
+    """words with the speaker of the first turn that holds their midpoint; null where none does. A word meets the turns of its
+    BUCKET-second stretch, not its episode's."""
+    turns = turns.where("end > start").selectExpr("episode_id", "turn", "speaker", "start", "end", f"explode(sequence(cast(floor(start / {BUCKET}D) AS bigint), cast(floor(end / {BUCKET}D) AS bigint))) AS bucket")
+    words = words.selectExpr("episode_id", "pos", "(start + end) / 2 AS mid").selectExpr("*", f"cast(floor(mid / {BUCKET}D) AS bigint) AS bucket")
     return q(
         words.sparkSession,
-        "SELECT w.episode_id, w.pos, min_by(t.speaker, t.turn) AS speaker FROM {words} w LEFT JOIN {turns} t ON t.episode_id = w.episode_id AND (w.start + w.end) / 2 >= t.start AND (w.start + w.end) / 2 < t.end GROUP BY w.episode_id, w.pos",
+        "SELECT w.episode_id, w.pos, min_by(t.speaker, t.turn) AS speaker FROM {words} w LEFT JOIN {turns} t ON t.episode_id = w.episode_id AND t.bucket = w.bucket AND w.mid >= t.start AND w.mid < t.end GROUP BY w.episode_id, w.pos",
         words=words, turns=turns,
     )
 

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exact_dedup import BLANKS, without
+
 #: name -> SQL condition over the measurements under which a text fails; a rule's bit is its place here.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -39,11 +41,13 @@ class Policy:
 
 
 POLICIES = {(p.name, p.version): p for p in (Policy("base", 1, BASE), Policy("prose", 1, tuple(RULES)))}
-_SYMBOLS, _UPPER, _BLANKS = "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", " \t\n\x0b\x0c\r"
+_SYMBOLS, _UPPER = "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many of the text's characters are among chars: replacing few by byte search is faster than a look-up of each character."""
+    rest = without(text, chars) if len(chars) <= 8 else F.translate(text, chars, "")
+    return F.char_length(text) - F.char_length(rest)
 
 
 def _repeat_words(hashes: str) -> str:
@@ -69,7 +73,9 @@ def ledger(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     Words are `[^\\x20\\x09-\\x0D]+`; a null text has none. n_dup_lines: lines (split at \\n) with a word that equal an
     earlier line; n_repeat_words: words in windows of three words that occur twice or more, the first included (windows
     are compared by 64-bit hashes). All comparisons are whole numbers, so an empty text divides by nothing. Whole texts,
-    one pass, no shuffle, no Python.
+    one pass, no shuffle, no Python; a row's arrays grow with its text (about 60 bytes a word), so the longest text bounds
+    a task's memory. Each row is measured by itself, repeated ones too; other columns are not read, so none clashes; an empty table
+    gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col), text.alias("_text"))
@@ -78,13 +84,13 @@ def ledger(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Dat
     rows = rows.select(
         id_col,
         F.size("_words").alias("n_words"),
-        (F.char_length(F.translate("_text", _BLANKS, ""))).alias("word_chars"),
-        _without(F.col("_text"), _SYMBOLS).alias("n_symbols"),
+        F.char_length(without(F.col("_text"), BLANKS)).alias("word_chars"),
+        _count(F.col("_text"), _SYMBOLS).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         F.expr(f"CASE WHEN size(_words) < 4 THEN cast(array() AS array<bigint>) ELSE {window} END").alias("_hashes"),
         F.size("_lines").alias("n_lines"),
-        _without(F.col("_text"), _UPPER).alias("n_upper"),
-        _without(F.col("_text"), "!").alias("n_bangs"),
+        _count(F.col("_text"), _UPPER).alias("n_upper"),
+        _count(F.col("_text"), "!").alias("n_bangs"),
     )
     rows = rows.withColumn("n_repeat_words", F.expr(_repeat_words("_hashes")))
     rows = rows.select(id_col, *(F.col(c).cast("bigint").alias(c) for c in MEASURES))

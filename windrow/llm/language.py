@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import importable, put_aside, share_below
+from .shared import holding, holds, importable, put_aside, share_below
 
 DIM, SYMBOLS, UNDETERMINED = 1024, 64, "und"
 #: Languages whose sampling limits may be broadcast.
@@ -99,6 +99,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     rows = rows.join(some, F.col("lang") == F.col("of"), "left").where("below IS NULL OR by < below")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("language")
         total: dict[str, np.ndarray] = {}
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             v = np.rint(vectors(batch.column("text").to_pylist()) * _SCALE).astype(np.int64)
@@ -129,6 +130,7 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: li
     names = np.array([*profiles.languages, UNDETERMINED], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("language")
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             v = vectors(batch.column("text__").to_pylist())
             some = v.any(axis=1)
@@ -138,3 +140,11 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: li
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*cols, "lang_pred", "score"])
 
     return rows.mapInArrow(run, rows.select(*cols).schema.add("lang_pred", "string").add("score", "double")).select(*back, "lang_pred", "score")
+
+
+def _drop() -> None:
+    _letters.cache_clear()
+    _turned.cache_clear()
+
+
+holds("language", _drop)

@@ -31,6 +31,8 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 
+from .shared import holds
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Classes of characters. UNSURE: not in Python's Unicode tables, so the library is asked.
@@ -162,7 +164,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def named(r: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The state that each pretoken ends in: a prefix scan over the affine maps of its characters, given as their random numbers."""
-    up, down = _powers(max(20, len(r).bit_length()))
+    up, down = _powers(max(19, len(r).bit_length()))
     scan = np.zeros(len(r) + 1, np.uint64)
     np.cumsum(r * up[: len(r)], out=scan[1:])
     h = (scan[ends] - scan[starts]) * down[starts]
@@ -309,8 +311,10 @@ class Merges:
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of ranges, one after another."""
-    end = np.cumsum(sizes)
-    return np.repeat(starts - end + sizes, sizes) + np.arange(end[-1] if len(end) else 0)
+    end = np.cumsum(sizes, dtype=np.int64)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if total < 1 << 30 else np.int64
+    return np.repeat((starts - end + sizes).astype(kind), sizes) + np.arange(total, dtype=kind)
 
 
 class Transducer:
@@ -352,8 +356,8 @@ class Transducer:
 
     def _empty(self) -> None:
         self.table = Table((ENTRIES * 2 - 1).bit_length())
-        self.offsets, self.ids, self.n_ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-        self.places, self.chars, self.n_chars = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.offsets, self.ids, self.n_ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+        self.places, self.chars, self.n_chars = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
 
     @staticmethod
     def _grown(x: np.ndarray, n: int) -> np.ndarray:
@@ -516,3 +520,11 @@ class Transducer:
 def transducer(path: str) -> Transducer:
     """One for each file in a worker: its table serves all tasks that the worker runs."""
     return Transducer(path)
+
+
+def _drop() -> None:
+    for x in (transducer, character_numbers, _powers, classes):
+        x.cache_clear()
+
+
+holds("lexing", _drop)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexing import transducer
-from .shared import importable, partitions, written
+from .shared import holding, importable, partitions, written
 
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -30,6 +30,7 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        holding("lexing")
         machine, uid = transducer(tokenizer_path), TaskContext.get().partitionId() << 33
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):

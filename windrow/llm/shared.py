@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +74,26 @@ def share_below(most: Column, there: Column) -> Column:
     return (F.lit(-(2.0**63)) + F.least(F.lit(1.0), most / there) * F.lit(2.0**64 - 2.0**12)).cast("bigint")
 
 
+#: In a Python worker: what drops the tables that an operator keeps there between tasks, by the operator's name.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, drop: Callable[[], None]) -> None:
+    _held[name] = drop
+
+
+def holding(name: str) -> None:
+    """At the start of a worker's task: drops the tables of other operators that ran in the same worker, and gives memory that
+    tasks before have freed back to the system. Workers outlive tasks, so what they keep would add up over a pipeline's stages."""
+    for other, drop in _held.items():
+        if other != name:
+            drop()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def importable(spark: SparkSession) -> None:
     """Python workers find this package where the driver found it."""
     env = spark.sparkContext.environment

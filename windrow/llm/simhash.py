@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_since, importable, mark, written
+from .shared import drop_since, holding, importable, mark, written
 from .trie import contracted, join_dealt, spread
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,6 +53,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("simhash")
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             fp = np.array([fingerprint(x, words, seed) for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64), pa.int64())], names=["doc_id", "fp"])
@@ -161,6 +162,7 @@ def _marked(texts: DataFrame, words: int, how: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        holding("simhash")
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             sets = [shingles(x, words) for x in batch.column("text").to_pylist()]
             names = np.array([xxhash.xxh3_64_intdigest(s.astype("<u8").tobytes()) for s in sets], np.uint64)
@@ -194,6 +196,7 @@ def _held(pairs: DataFrame, of: DataFrame, value: str, check) -> DataFrame:  # n
     """The pairs (a, b) for whose values x, y, of the sets a and b, check(x, y) holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("simhash")
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             told = [check(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(told, pa.bool_()))
@@ -226,6 +229,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
         return both >= least * (len(x) + len(y) - both)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("simhash")
         for batch in (whole.slice(k, _ROWS) for whole in batches for k in range(0, whole.num_rows, _ROWS)):
             names = pa.array([shingles(x, words).astype("<u8").tobytes() for x in batch.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("set"), names], names=["set", "names"])

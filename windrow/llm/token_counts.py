@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lexing import transducer
-from .shared import importable
+from .shared import holding, importable
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", limit: int = 1024) -> DataFrame:
@@ -25,6 +25,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", id_
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("lexing")
         machine = transducer(tokenizer_path)
         for batch in batches:
             n = machine.counts(batch.column("text").to_pylist())

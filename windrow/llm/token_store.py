@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .huffman import STRIDE, Code, crc_join
 from .lexing import transducer
-from .shared import drop_since, importable, mark, partitions, shared_dir, written
+from .shared import drop_since, holding, importable, mark, partitions, shared_dir, written
 
 #: Tokens of a piece at most, and of a block once it is closed.
 PIECE = BLOCK_TOKENS = 1 << 16
@@ -34,6 +34,7 @@ def _tokenized(df: DataFrame, tokenizer_path: str, end_id: int | None, text_col:
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("lexing")
         machine, uid = transducer(tokenizer_path), TaskContext.get().partitionId() << 33
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):

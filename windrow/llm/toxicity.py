@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lexing import BLOCK, END, LETTER, character_numbers, named
-from .shared import importable, share_below
+from .shared import holds, importable, share_below
 
 #: Lengths of the word beginnings that count besides whole words (runs of letters, lower case).
 STEMS = (4, 5, 6, 7)
@@ -50,6 +50,13 @@ def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, character_numbers(0)[low], unspaced & (kind == LETTER)
 
 
+def _drop() -> None:
+    _letters.cache_clear()
+
+
+holds("toxicity", _drop)
+
+
 def _features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of the texts, as 64-bit names, one text after another, and how many each has."""
     kind, random, unspaced = _letters()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_since, importable, mark, partitions, written
+from .shared import drop_since, holding, importable, mark, partitions, written
 
 #: Node pairs taken at once, links after which classes are made, keys of a task's share that are joined at once (cut between node
 #: pairs), and keys that a dealt node pair may have.
@@ -254,6 +254,7 @@ def join_dealt(dealt: DataFrame, bits: int, budget: int, labelled: bool = False)
     importable(dealt.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("simhash")
         held: list[pa.RecordBatch] = []
         rows, most = 0, ROWS
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..sources.views import q
-from .topics import BUCKET
+from ..sources.views import BUCKET, MEET, q, stretches
 
 STATIC_MOTION, MIN_RUN = 1.2, 1.5
 
@@ -200,16 +199,17 @@ def cover_times(frames: DataFrame, clips: DataFrame, spoken: DataFrame | None =
     inner = q(
         s,
         f"""
-        WITH held AS (SELECT c.clip, c.start AS s, c.end AS e, f.*, f.t >= c.start + {edge}D AND f.t <= c.end - {edge}D AS mid FROM {{clips}} c JOIN {{frames}} f ON f.episode_id = c.episode_id AND f.t BETWEEN c.start AND c.end),
+        WITH held AS (SELECT c.clip, c.start AS s, c.end AS e, f.*, f.t >= c.start + {edge}D AND f.t <= c.end - {edge}D AS mid FROM {{clips}} c JOIN {{frames}} f ON {MEET.format('f', 'c')} AND f.t BETWEEN c.start AND c.end),
         any AS (SELECT *, bool_or(mid) OVER (PARTITION BY episode_id, clip) AS has_mid FROM held)
-        SELECT * FROM any WHERE mid OR NOT has_mid
+        SELECT * EXCEPT (bucket, bucket0) FROM any WHERE mid OR NOT has_mid
         """,
-        frames=frames, clips=clips,
+        frames=stretches(frames, "t", "t"), clips=stretches(clips),
     )
     still = q(s, "SELECT *, min(t) OVER (PARTITION BY episode_id, clip) AS t0 FROM {rows}", rows=stillness(inner, "episode_id, clip")).where("confident")
     if spoken is not None:
-        lines = spoken.selectExpr("episode_id", "pos", "start AS a", "end AS b", "value")
-        still = q(s, "SELECT f.episode_id, f.clip, f.t, f.t0, f.stillness, min_by(l.value, l.pos) AS value FROM {still} f LEFT JOIN {lines} l ON l.episode_id = f.episode_id AND f.t BETWEEN l.a AND l.b AND l.b > f.s AND l.a < f.e GROUP BY f.episode_id, f.clip, f.t, f.t0, f.stillness", still=still, lines=lines)
+        lines = stretches(spoken.selectExpr("episode_id", "pos", "start AS a", "end AS b", "value"), "a", "b")
+        still = stretches(still, "t", "t")
+        still = q(s, "SELECT f.episode_id, f.clip, f.t, f.t0, f.stillness, min_by(l.value, l.pos) AS value FROM {still} f LEFT JOIN {lines} l ON " + MEET.format("f", "l") + " AND f.t BETWEEN l.a AND l.b AND l.b > f.s AND l.a < f.e GROUP BY f.episode_id, f.clip, f.t, f.t0, f.stillness", still=still, lines=lines)
     else:
         still = still.selectExpr("episode_id", "clip", "t", "t0", "stillness", "cast(NULL AS double) AS value")
     return q(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..sources.views import q
+from ..sources.views import MEET, q, stretches
 
 # Pauses from MIN_GAP on are shortened to KEEP, largest first, by at most MAX_FRACTION of the clip; cuts of MIN_CUT at least.
 MIN_GAP, KEEP, MAX_FRACTION, MIN_CUT = 1.5, 0.4, 0.12, 0.1
@@ -16,11 +16,11 @@ def gaps(words: DataFrame, clips: DataFrame) -> DataFrame:
     return q(
         words.sparkSession,
         """
-        WITH inside AS (SELECT c.episode_id, c.clip, c.start AS s, c.end AS e, w.pos, w.start, w.end FROM {clips} c JOIN {words} w ON w.episode_id = c.episode_id AND w.end > c.start AND w.start < c.end),
+        WITH inside AS (SELECT c.episode_id, c.clip, c.start AS s, c.end AS e, w.pos, w.start, w.end FROM {clips} c JOIN {words} w ON """ + MEET.format("w", "c") + """ AND w.end > c.start AND w.start < c.end),
         pairs AS (SELECT episode_id, clip, pos, greatest(end, s) AS gap_start, lead(start) OVER (PARTITION BY episode_id, clip ORDER BY pos) AS next, e FROM inside)
         SELECT episode_id, clip, pos, gap_start, least(next, e) AS gap_end FROM pairs WHERE next IS NOT NULL AND least(next, e) > gap_start
         """,
-        words=words, clips=clips,
+        words=stretches(words), clips=stretches(clips),
     )
 
 
@@ -67,7 +67,7 @@ def remap(t: str, spans: str = "spans") -> str:
 
 def shifted_words(words: DataFrame, lines: DataFrame) -> DataFrame:
     """Words of each clip on its cut timeline; those that a cut swallows go, unless nothing comes before them."""
-    rows = q(words.sparkSession, "SELECT c.episode_id, c.clip, c.spans, w.pos, w.start AS s0, w.end AS e0, w.text FROM {lines} c JOIN {words} w ON w.episode_id = c.episode_id AND w.end > c.start AND w.start < c.end", words=words, lines=lines)
+    rows = q(words.sparkSession, "SELECT c.episode_id, c.clip, c.spans, w.pos, w.start AS s0, w.end AS e0, w.text FROM {lines} c JOIN {words} w ON " + MEET.format("w", "c") + " AND w.end > c.start AND w.start < c.end", words=stretches(words), lines=stretches(lines))
     rows = rows.selectExpr("episode_id", "clip", "pos", "text", f"{remap('s0')} AS start", f"{remap('e0')} AS end")
     return q(words.sparkSession, "SELECT episode_id, clip, pos, text, start, end FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, clip ORDER BY pos) AS r FROM {rows}) WHERE end > start OR r = 1", rows=rows)
 

@@ -13,6 +13,21 @@ def q(spark: SparkSession, text: str, **frames: object) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+#: Seconds of the stretches of time that joins on time go by.
+BUCKET = 30.0
+
+
+def stretches(df: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """df's rows once for each stretch of time (`bucket`) that they are in, with the first one (`bucket0`). Two intervals that overlap share the
+    stretch greatest(bucket0, bucket0) exactly once, so they meet there and not in all their episode."""
+    at = lambda x: f"cast(floor({x} / {BUCKET}D) AS bigint)"
+    return df.where(f"{end} >= {start}").selectExpr("*", f"explode(sequence({at(start)}, {at(end)})) AS bucket", f"{at(start)} AS bucket0")
+
+
+#: The condition under which rows a and b of `stretches` are to be compared.
+MEET = "{0}.episode_id = {1}.episode_id AND {0}.bucket = {1}.bucket AND {0}.bucket = greatest({0}.bucket0, {1}.bucket0)"
+
+
 def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(segments, words) of transcript files: one JSON object each, with `segments` and `words`, both mandatory.
 

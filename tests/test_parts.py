@@ -136,6 +136,13 @@ def test_dry_run(spark, tmp_path):
     assert sorted(map(tuple, again.clips.collect())) == clips
     with pytest.raises(lifecycle.Stopped):
         lifecycle.dry_run(spark, segments, words, settings, should_stop=lambda: True)
+    # a clip that was turned down does not come back, not in the next run either
+    picked = first.pool.join(first.clips.select("episode_id", "i", "j"), ["episode_id", "i", "j"]).orderBy("episode_id", "i").limit(1).select("episode_id", "i", "j", "start", "end").collect()
+    gone = spark.createDataFrame(picked)
+    key = (picked[0].episode_id, picked[0].i, picked[0].j)
+    for rejected in (gone, None):
+        later = {(r.episode_id, r.i, r.j) for r in lifecycle.dry_run(spark, segments, words, settings, rejected=rejected).clips.collect()}
+        assert key not in later and any(e == key[0] for e, _, _ in later)
     assert export.State(spark, str(tmp_path / "none")).load() is None
 
 

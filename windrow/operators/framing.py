@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.views import BUCKET, MEET, q, stretches
 
@@ -283,24 +286,27 @@ def dominant_seats(series: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def seats(detections: DataFrame, samples: int, tolerance: float = 0.10, min_share: float = 0.35) -> DataFrame:
-    """detections (episode_id, k, cx, cy, w, h) -> seats: each detection joins the first group whose running median is within `tolerance`
-    (order decides, so an episode's detections are one grouped task); groups with too few are dropped; medians are reported."""
+    """detections (episode_id, k, cx, cy, w, h) -> seats: each detection joins the first group whose running median is within `tolerance`;
+    groups with too few are dropped; medians are reported. Order decides who joins what, so that is one grouped task an episode, over
+    sorted lists; the medians are SQL."""
     kind = detections.schema["episode_id"].dataType.simpleString()
 
-    def group(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[int]] = []
-        rows = rows.sort_values(["k", "cx", "cy"]).reset_index(drop=True)
-        for i, x in enumerate(rows["cx"]):
-            home = next((g for g in groups if abs(rows["cx"].iloc[g].median() - x) < tolerance), None)
-            if home is None:
-                groups.append([i])
-            else:
-                home.append(i)
-        held = [rows.iloc[g] for g in groups if len(g) >= max(3, round(samples * min_share))]
-        held.sort(key=lambda g: g["cx"].median())
-        return pd.DataFrame([(rows["episode_id"].iloc[0], i, g["cx"].median(), g["cy"].median(), g["w"].median(), g["h"].median(), len(g)) for i, g in enumerate(held)], columns=["episode_id", "seat", "center_x", "center_y", "width", "height", "samples"])
-
-    return detections.groupBy("episode_id").applyInPandas(group, f"episode_id {kind}, seat int, center_x double, center_y double, width double, height double, samples int")
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["k", "cx", "cy"])
+        groups: list[list[float]] = []
+        joined = []
+        for x in rows["cx"].tolist():
+            home = next((n for n, g in enumerate(groups) if abs((g[(len(g) - 1) // 2] + g[len(g) // 2]) / 2 - x) < tolerance), len(groups))
+            if home == len(groups):
+                groups.append([])
+            insort(groups[home], x)
+            joined.append(home)
+        return rows.assign(home=joined)
+
+    rows = detections.select("episode_id", *(F.col(c).cast("double").alias(c) for c in ("k", "cx", "cy", "w", "h")))
+    rows = rows.groupBy("episode_id").applyInPandas(join, f"episode_id {kind}, k double, cx double, cy double, w double, h double, home int")
+    found = q(rows.sparkSession, "SELECT episode_id, home, median(cx) AS center_x, median(cy) AS center_y, median(w) AS width, median(h) AS height, cast(count(*) AS int) AS samples FROM {rows} GROUP BY episode_id, home", rows=rows).where(f"samples >= {max(3, round(samples * min_share))}")
+    return q(rows.sparkSession, "SELECT episode_id, cast(row_number() OVER (PARTITION BY episode_id ORDER BY center_x, home) - 1 AS int) AS seat, center_x, center_y, width, height, samples FROM {found}", found=found)
 
 
 def iou(a: str, b: str) -> str:

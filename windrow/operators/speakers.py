@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame
 from ..sources.views import q
 
 
+def _squares(x: np.ndarray, rows: int = 128) -> np.ndarray:
+    """Squared distances of all pairs, some rows at a time: n by n numbers are held, not n by n by d."""
+    return np.concatenate([((x[a : a + rows, None] - x[None]) ** 2).sum(-1) for a in range(0, len(x), rows)])
+
+
 def ward(x: np.ndarray, k: int) -> np.ndarray:
     """Labels of k clusters by Ward's criterion: the cheapest merge first."""
     n = len(x)
     center, size, labels, live = x.copy(), np.ones(n), np.arange(n), np.ones(n, bool)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
+    d = _squares(x) / 2
     np.fill_diagonal(d, np.inf)
     for _ in range(n - k):
         a, b = sorted(divmod(int(d.argmin()), n))
@@ -29,7 +34,7 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d = np.sqrt(_squares(x))
     ks = np.unique(labels)
     mean = np.stack([d[:, labels == k].sum(1) for k in ks], 1)
     n = np.array([(labels == k).sum() for k in ks])

@@ -88,6 +88,12 @@ TITLES = """tl AS MATERIALIZED (SELECT episode_id, seg, length(upper_) AS len, l
         CASE WHEN len(lines) = 3 THEN cur WHEN cur = '' OR length(cur) + 1 + length(w[r + 1]) > greatest(target, length(w[r + 1])) THEN w[r + 1] ELSE cur || ' ' || w[r + 1] END,
         CASE WHEN len(lines) < 3 AND cur <> '' AND length(cur) + 1 + length(w[r + 1]) > greatest(target, length(w[r + 1])) THEN used + len(string_split(cur, ' ')) ELSE used END FROM wr WHERE r < len(w)),
     fin AS (SELECT * FROM wr WHERE r = len(w))"""
+# a detection after another into groups
+GROUPS = """dt AS MATERIALIZED (SELECT episode_id, center_x AS x, row_number() OVER (PARTITION BY episode_id ORDER BY k) AS r FROM frames WHERE confident),
+    gr AS (SELECT episode_id, r, [[x]] AS g FROM dt WHERE r = 1
+      UNION ALL SELECT episode_id, r, CASE WHEN hit = 0 THEN list_append(g, [x]) ELSE list_transform(g, lambda l, i: CASE WHEN i = hit THEN list_append(l, x) ELSE l END) END
+      FROM (SELECT o.episode_id, d.r, o.g, d.x, coalesce(list_position(list_transform(o.g, lambda l: abs(list_median(l) - d.x) < 0.1), true), 0) AS hit FROM gr o JOIN dt d ON d.episode_id = o.episode_id AND d.r = o.r + 1)),
+    ug AS (SELECT episode_id, unnest(arg_max(g, r)) AS l FROM gr GROUP BY episode_id)"""
 HEIGHTS = [720, 1280, 1920]
 
 
@@ -135,6 +141,7 @@ def more(segments: str, clips: str, words: str, plat: str, plan: str, slots: str
         "segment_modes": with_(frames, shots, static, track_clips, MODES) + """ SELECT u.episode_id, u.clip, CAST(i - 1 AS INT) AS run, CASE WHEN i = 1 THEN c.start ELSE z.a END AS start, CASE WHEN i = n THEN c."end" ELSE z.b END AS "end", z.m AS mode FROM un u JOIN tclips c USING (episode_id, clip)
           UNION ALL SELECT episode_id, clip, 0, start, "end", 'face' FROM tclips c WHERE NOT EXISTS (SELECT 1 FROM un u WHERE u.episode_id = c.episode_id AND u.clip = c.clip)""",
         "cover_time": with_(frames, track_clips, segments, words, tokens, spoken, COVER) + " SELECT DISTINCT ON (episode_id, clip) episode_id, clip, t FROM cand ORDER BY episode_id, clip, score DESC, t DESC",
+        "seat_clusters": with_(frames, GROUPS) + " SELECT episode_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY list_median(l)) - 1 AS INT) AS seat, list_median(l) AS center_x, 0.5::DOUBLE AS center_y, 0.125::DOUBLE AS width, 0.25::DOUBLE AS height, CAST(len(l) AS INT) AS samples FROM ug WHERE len(l) >= 3",
         "merged_boxes": with_(MERGED) + " SELECT episode_id, k, z.x AS x, z.y AS y, z.w AS w, z.h AS h, z.v AS votes FROM lb",
         "tracked_path": with_(frames, shots, TRACK, SMOOTH.replace("FROM frames)", "FROM part)")) + " SELECT f.episode_id, f.k, f.t, f.confident, round(least(greatest(e.e, 0.158203125), 0.841796875), 6) AS center_x FROM sm s JOIN ea e ON e.episode_id = s.episode_id AND e.k = s.k JOIN whole f ON f.episode_id = s.episode_id // 100000 AND f.k = s.t",
         "clip_extension": with_(*topic, clips, EXTENDED.format(closing=pack.closing_window, payload=pack.payload_words, spill=min(pack.spillover_window, 20))) + ' SELECT episode_id, clip, start, max(ne) AS "end", max(ne) - "end" AS added FROM ok GROUP BY episode_id, clip, start, "end" HAVING max(ne) > "end" + 1',

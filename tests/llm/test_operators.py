@@ -273,8 +273,13 @@ def test_node_pairs_of_many_keys_are_dealt_further(spark, monkeypatch):
     rows = spark.createDataFrame([(0, int(np.uint64(v).view(np.int64)), i) for i, v in enumerate(x)], "lane int, key bigint, vertex bigint")
     dealt = trie.spread(rows, len(x), 1, 64, 3)
     assert max(r["count"] for r in dealt.groupBy("lane", "depth", "a", "b").count().collect()) <= 60
-    got = {(r.a, r.b) for r in trie.join_dealt(dealt, 64, 3).where("b IS NOT NULL").collect()}
-    assert got == linked_pairs(x)
+    rows = trie.join_dealt(dealt, 64, 3).collect()
+    got = {(r.a, r.b) for r in rows if r.b is not None}
+    want = components(x, lambda a, b: (a ^ b).bit_count() <= 3)
+    assert components(range(len(x)), lambda i, j: (min(i, j), max(i, j)) in got) == want
+    assert all({a, b} <= {r.a for r in rows if r.b is None} for a, b in linked_pairs(x) - got)
+    labelled = dealt.withColumn("label", dealt.vertex % 4)
+    assert {(r.a, r.b) for r in trie.join_dealt(labelled, 64, 3, labelled=True).collect()} == {(a, b) for a, b in linked_pairs(x) if a % 4 != b % 4}
 
 
 def test_linked(spark):

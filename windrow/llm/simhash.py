@@ -209,9 +209,9 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
     """sets: (set, wide, row), each different shingle set once, with the row that has it in texts: (row, text). (label, to): sets that are
     linked to others, and the same `to` for those connected by links of Jaccard similarity `least` or more.
 
-    Candidates come from the plan's tries; the wide fingerprints and then the sets themselves decide. In a first pass, groups of many
-    near copies give the links that their components need; a second asks for every link of the keys left out between
-    different components of what the first one proved. So no candidate is lost to a bound."""
+    Candidates come from the plan's tries; the wide fingerprints and then the sets themselves decide. In a first pass, each group
+    of candidates gives one pair a set, with the group's smallest set; a second asks for every candidate between different
+    components of what the first one proved. So no candidate is lost to a bound."""
     spark, since = sets.sparkSession, mark()
     importable(spark)
     wides = sets.where("wide IS NOT NULL").select("set", "wide")

@@ -249,8 +249,10 @@ def spread(rows: DataFrame, n: int, lanes: int, bits: int, budget: int) -> DataF
 
 
 def join_dealt(dealt: DataFrame, bits: int, budget: int, labelled: bool = False) -> DataFrame:
-    """(a, b): vertices of links below the dealt node pairs, and (vertex, null) for those left out (see trie_join). labelled:
-    dealt has a column `label`, and every link between different labels is given."""
+    """(a, b): for each component of the links below a dealt node pair, its smallest vertex with each other one, and (vertex, null) for the
+    vertices of components of three or more: pairs that are no links themselves may be among those. As the hub is the smallest
+    vertex wherever a component is found, node pairs agree on it, and a group of near copies gives pairs in proportion to its
+    size. labelled: dealt has a column `label`, and it is every link between different labels that is given."""
     importable(dealt.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,13 +276,24 @@ def join_dealt(dealt: DataFrame, bits: int, budget: int, labelled: bool = False)
             first, mid, last = (x[go] for x in (first, mid, last))
             labels = part.column("label").to_numpy()[order] if labelled else None
             spent = np.bitwise_count((a[first] ^ b[first]).view(np.uint64))
-            for x, y, out in trie_join(key, first, mid, last, depth[first], spent, bits, budget, labels):
-                x, y = vertex[x], vertex[y]
-                x, y = np.minimum(x, y), np.maximum(x, y)
-                ends = pa.array(y[x != y])
-                yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), ends], names=["a", "b"])
-                out = np.unique(vertex[out])
-                yield pa.RecordBatch.from_arrays([pa.array(out), pa.nulls(len(out), pa.int64())], names=["a", "b"])
+            links = trie_join(key, first, mid, last, depth[first], spent, bits, budget, labels)
+            if labelled:
+                for x, y, _ in links:
+                    x, y = vertex[x], vertex[y]
+                    x, y = np.minimum(x, y), np.maximum(x, y)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], names=["a", "b"])
+                return
+            classes = _Classes(len(key))
+            for x, y, _ in links:
+                classes.link(x, y)
+            size = np.bincount(classes.of, minlength=len(key))[classes.of]
+            member = np.flatnonzero(size > 1)
+            hub = np.full(len(key), np.iinfo(np.int64).max)
+            np.minimum.at(hub, classes.of[member], vertex[member])
+            a, b = hub[classes.of[member]], vertex[member]
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+            many = np.unique(b[size[member] > 2])
+            yield pa.RecordBatch.from_arrays([pa.array(many), pa.nulls(len(many), pa.int64())], names=["a", "b"])
 
         pair = ("lane", "depth", "a", "b")
         for batch in batches:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -172,24 +172,23 @@ def _marked(texts: DataFrame, words: int, how: Plan) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "row bigint, set bigint, wide binary")
 
 
-def _keys(wides: DataFrame, how: Plan) -> DataFrame:
-    """(lane, key, vertex): the plan's keys of each wide fingerprint."""
+def _keys(how: Plan) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """What makes of a batch of (set, wide) the plan's keys of each wide fingerprint: (lane, key, vertex)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").reshape(n, how.words)
-            for t in range(how.tables):
-                at, shift = divmod(t * how.bits, 64)
-                key = x[:, at] >> np.uint64(shift)
-                if shift + how.bits > 64:
-                    key = key | x[:, at + 1] << np.uint64(64 - shift)
-                key &= np.uint64((1 << how.bits) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(key.view(np.int64)), batch.column("set")], names=["lane", "key", "vertex"])
-
-    return wides.mapInArrow(run, "lane int, key bigint, vertex bigint")
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if not n:
+            return
+        x = np.frombuffer(b"".join(batch.column("wide").to_pylist()), "<u8").reshape(n, how.words)
+        for t in range(how.tables):
+            at, shift = divmod(t * how.bits, 64)
+            key = x[:, at] >> np.uint64(shift)
+            if shift + how.bits > 64:
+                key = key | x[:, at + 1] << np.uint64(64 - shift)
+            key &= np.uint64((1 << how.bits) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t), pa.int32()), pa.array(key.view(np.int64)), batch.column("set")], names=["lane", "key", "vertex"])
+
+    return run
 
 
 def _held(pairs: DataFrame, of: DataFrame, value: str, check) -> DataFrame:  # noqa: ANN001
@@ -215,8 +214,8 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
     spark, since = sets.sparkSession, mark()
     importable(spark)
     wides = sets.where("wide IS NOT NULL").select("set", "wide")
-    keys = _keys(wides, how)
-    found = written(join_dealt(spread(keys, sets.count(), how.tables, how.bits, how.budget), how.bits, how.budget), "candidates")
+    keys = _keys(how)
+    found = written(join_dealt(spread(wides, sets.count(), how.tables, how.bits, how.budget, keys), how.bits, how.budget), "candidates")
 
     def few(x: bytes, y: bytes) -> bool:
         return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= how.most
@@ -246,7 +245,8 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
     open_ = written(out.join(label.withColumnRenamed("label", "vertex"), "vertex", "left").select("vertex", F.coalesce("to", "vertex").alias("label")), "open")
     n = open_.count()
     if n:
-        rest = spread(keys.join(open_, "vertex", "left_semi"), n, how.tables, how.bits, how.budget).join(open_, "vertex")
+        asked = wides.join(open_.select(F.col("vertex").alias("set")), "set", "left_semi").select("set", "wide")
+        rest = spread(asked, n, how.tables, how.bits, how.budget, keys).join(open_, "vertex")
         label = contracted(links.union(proven(written(join_dealt(rest, how.bits, how.budget, labelled=True), "rest"))))
     drop_since(spark, since, label)
     return label

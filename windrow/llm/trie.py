@@ -12,7 +12,7 @@ with too many keys is dealt further down. The rest of a pair's traversal is one
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -198,14 +198,18 @@ def _dealt(lane: np.ndarray, depth: int, a: np.ndarray, b: np.ndarray, keys: np.
     return pa.RecordBatch.from_arrays([pa.array(lane, pa.int32()), pa.array(np.full(len(lane), depth + down), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys.view(np.int64)), pa.array(vertex)], names=["lane", "depth", "a", "b", "key", "vertex"])
 
 
-def deal(rows: DataFrame, bits: int, budget: int, down: int) -> DataFrame:
-    """rows: (lane, key, vertex). (lane, depth, a, b, key, vertex): the key once, with either half put first (lanes 2 * lane and 2 * lane + 1),
-    for each pair (a, b) of nodes `down` levels below the root that it is part of."""
+def deal(rows: DataFrame, bits: int, budget: int, down: int, keys: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """rows: (lane, key, vertex), or what `keys` makes such batches of. (lane, depth, a, b, key, vertex): the key once, with either half put
+    first (lanes 2 * lane and 2 * lane + 1), for each pair (a, b) of nodes `down` levels below the root that it is part of.
+
+    keys runs in the same worker: a stage of two Python steps would start a second worker for each core, and all of them are
+    used in turn by the stages after it, each with tables of its own."""
     importable(rows.sparkSession)
     half = bits // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        holding("simhash")
+        for batch in batches if keys is None else (part for whole in batches for part in keys(whole)):
             lane, key, vertex = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lane", "key", "vertex"))
             key = key.view(np.uint64)
             root = np.zeros(len(key), np.int64)
@@ -213,11 +217,12 @@ def deal(rows: DataFrame, bits: int, budget: int, down: int) -> DataFrame:
             for turn, k in ((0, key), (1, (key << np.uint64(half) | key >> np.uint64(bits - half)) & mask)):
                 yield _dealt(lane.astype(np.int64) * 2 + turn, 0, root, root, k, vertex, bits, budget, down)
 
-    return rows.select("lane", "key", "vertex").mapInArrow(run, _DEALT)
+    return (rows.select("lane", "key", "vertex") if keys is None else rows).mapInArrow(run, _DEALT)
 
 
 def _further(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("simhash")
         for batch in batches:
             lane, depth, a, b, key, vertex = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lane", "depth", "a", "b", "key", "vertex"))
             for d in np.unique(depth).tolist():
@@ -227,13 +232,13 @@ def _further(rows: DataFrame, bits: int, budget: int) -> DataFrame:
     return rows.mapInArrow(run, _DEALT)
 
 
-def spread(rows: DataFrame, n: int, lanes: int, bits: int, budget: int) -> DataFrame:
+def spread(rows: DataFrame, n: int, lanes: int, bits: int, budget: int, keys: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """deal, as far down as n keys on `lanes` lanes ask for: some node pairs for each task, none of more than MOST keys while
     there are levels left."""
     spark = rows.sparkSession
     tasks = partitions(spark)
     down = max(0, math.ceil(math.log2(max(n, 1) * 4 / MOST)), min(6, math.ceil(math.log2(max(1, tasks / lanes)))) if n > 1000 else 0)
-    dealt = deal(rows, bits, budget, min(down, bits // 2 - 1))
+    dealt = deal(rows, bits, budget, min(down, bits // 2 - 1), keys)
     if n <= MOST:
         return dealt
     pair = ["lane", "depth", "a", "b"]

@@ -19,3 +19,37 @@ def test_keys_are_made_and_dealt_by_one_worker(spark, tmp_path, monkeypatch):
     got = corpus_pipeline.near(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == [0, *range(10, 20)]
     assert steps == [1, 1]  # both passes
+
+
+def test_texts_stay_where_they_are(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"{k}w{i}" for i in range(60 - k % 2)) for j in range(2) for k in range(20)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/d")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the verdicts were many
+    try:
+        for few, deals in ((simhash._FEW, False), (0, True)):
+            monkeypatch.setattr(simhash, "_FEW", few)
+            got = corpus_pipeline.near(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path))
+            assert ("SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()) == deals
+            assert sorted(r.doc_id for r in got.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_each_half_of_a_key_is_a_lane_of_its_own(spark, tmp_path, monkeypatch):
+    """No more copies of keys than the tasks ask for: with two lanes a table there is no need to deal further down."""
+    depths = []
+
+    def seen(dealt, *args, **options):
+        depths.append(dealt.agg({"depth": "max"}).first()[0])
+        return joined(dealt, *args, **options)
+
+    joined = simhash.join_dealt
+    monkeypatch.setattr(simhash, "join_dealt", seen)
+    rows = [(k, " ".join(f"{k}w{i}" for i in range(6))) for k in range(1001)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = simhash.near_copies_dropped(df, how=simhash.Plan(tasks // 2, 32, 3, 2 * 64))
+    assert got.count() == 1001
+    assert depths[0] == 0

@@ -18,6 +18,8 @@ from .trie import contracted, join_dealt, spread
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles whose votes are counted together, and rows of an Arrow batch that are taken together.
 _PART, _ROWS = 1 << 14, 1000
+#: Rows of two numbers that are sent to all tasks, so that a join leaves texts where they are.
+_FEW = 1 << 18
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -214,8 +216,8 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
     spark, since = sets.sparkSession, mark()
     importable(spark)
     wides = sets.where("wide IS NOT NULL").select("set", "wide")
-    keys = _keys(how)
-    found = written(join_dealt(spread(wides, sets.count(), how.tables, how.bits, how.budget, keys), how.bits, how.budget), "candidates")
+    keys, lanes = _keys(how), 2 * how.tables  # each key with either half first
+    found = written(join_dealt(spread(wides, sets.count(), lanes, how.bits, how.budget, keys), how.bits, how.budget), "candidates")
 
     def few(x: bytes, y: bytes) -> bool:
         return (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count() <= how.most
@@ -236,6 +238,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
     def proven(pairs: DataFrame) -> DataFrame:
         pairs = written(_held(pairs.distinct(), wides, "wide", few), "pairs")
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "row"), "set"), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= _FEW else wanted
         names = written(texts.join(wanted, "row").select("set", "text").mapInArrow(listed, "set bigint, names binary"), "names")
         return written(_held(pairs, names, "names", alike), "links")
 
@@ -246,7 +249,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
     n = open_.count()
     if n:
         asked = wides.join(open_.select(F.col("vertex").alias("set")), "set", "left_semi").select("set", "wide")
-        rest = spread(asked, n, how.tables, how.bits, how.budget, keys).join(open_, "vertex")
+        rest = spread(asked, n, lanes, how.bits, how.budget, keys).join(open_, "vertex")
         label = contracted(links.union(proven(written(join_dealt(rest, how.bits, how.budget, labelled=True), "rest"))))
     drop_since(spark, since, label)
     return label
@@ -275,5 +278,7 @@ def near_copies_dropped(df: DataFrame, text_col: str = "text", id_col: str = "do
     group = similar_sets(one.select("set", "wide", F.col("first.row").alias("row")), texts, how, words, least)
     told = one.join(group.withColumnRenamed("label", "set"), "set", "left").groupBy(F.coalesce("to", "set").alias("group")).agg(F.min("first").alias("first"))
     kept = written(told.select(F.col("first.row").alias("row")), "kept")
-    drop_since(spark, since, rows, kept)
-    return rows.join(kept, "row", "left_semi").select(*(F.col(o).alias(c) for c, o in own.items()))
+    gone = written(sets.select("row").join(kept, "row", "left_anti"), "gone")
+    drop_since(spark, since, rows, gone)
+    gone = F.broadcast(gone) if gone.count() <= _FEW else gone
+    return rows.join(gone, "row", "left_anti").select(*(F.col(o).alias(c) for c, o in own.items()))

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from .lexing import transducer
 from .shared import holding, importable, partitions, written
 
+#: Documents that are taken together.
+_ROWS = 1000
+
 
 def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Each document's ids (null text: empty) with end_id after them, cut into pieces of capacity, the last one shorter:
@@ -33,8 +36,8 @@ def cut_pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id:
         holding("lexing")
         machine, uid = transducer(tokenizer_path), TaskContext.get().partitionId() << 33
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                batch = whole.slice(k, 1000)
+            for k in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(k, _ROWS)
                 ids, counts = machine.encode(batch.column("text").to_pylist())
                 out: list[list] = [[], [], [], [], [], []]
                 at = 0
@@ -155,4 +158,4 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """cut_pieces, then pack. Documents that share an id are packed each by itself."""
-    return pack(written(cut_pieces(df, tokenizer_path, capacity, end_id, text_col, id_col), "pieces"), capacity)
+    return pack(written(cut_pieces(df, tokenizer_path, capacity, end_id, text_col, id_col), "pieces", batch=_ROWS), capacity)

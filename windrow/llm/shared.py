@@ -8,7 +8,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,12 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[str] = []
 
 
-def written(df: DataFrame, label: str, by: str | None = None, **options: str) -> DataFrame:
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """What is run meanwhile hands Python `most` rows at once, if the session would hand it more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = int(spark.conf.get(name))
+    if most is None or 0 < usual <= most:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(usual))
+
+
+def written(df: DataFrame, label: str, by: str | None = None, batch: int | None = None, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder (in a folder for each value of the column `by`), read again: cuts lineage, survives
-    lost executors."""
+    lost executors. batch: rows that Python gets at once, for rows with whole texts, which JVM and worker both hold."""
     path = f"{shared_dir(df.sparkSession)}/windrow-{label}-{uuid.uuid4().hex}"
     out = df.write.options(**options)
-    (out.partitionBy(by) if by else out).parquet(path)
+    with small_batches(df.sparkSession, batch):
+        (out.partitionBy(by) if by else out).parquet(path)
     _made.append(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._windrow_path = path

@@ -239,7 +239,7 @@ def similar_sets(sets: DataFrame, texts: DataFrame, how: Plan, words: int = 5, l
         pairs = written(_held(pairs.distinct(), wides, "wide", few), "pairs")
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets.select("set", "row"), "set"), "wanted")
         wanted = F.broadcast(wanted) if wanted.count() <= _FEW else wanted
-        names = written(texts.join(wanted, "row").select("set", "text").mapInArrow(listed, "set bigint, names binary"), "names")
+        names = written(texts.join(wanted, "row").select("set", "text").mapInArrow(listed, "set bigint, names binary"), "names", batch=_ROWS)
         return written(_held(pairs, names, "names", alike), "links")
 
     links = proven(found.where("b IS NOT NULL"))
@@ -271,7 +271,7 @@ def near_copies_dropped(df: DataFrame, text_col: str = "text", id_col: str = "do
     text, id_ = (F.col(next(o for c, o in own.items() if c.lower() == x.lower())) for x in (text_col, id_col))
     how = how or plan(rows.count(), least)
     texts = rows.select("row", text.alias("text"))
-    sets = written(_marked(texts, words, how), "sets")
+    sets = written(_marked(texts, words, how), "sets", batch=_ROWS)
     place = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text"), "row").alias("first")
     placed = sets.join(rows.select("row", place), "row")
     one = written(placed.groupBy("set").agg(F.min("first").alias("first"), F.first("wide").alias("wide")), "one")

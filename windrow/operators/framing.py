@@ -352,11 +352,14 @@ def split_crops(seat_rows: DataFrame, src_w: int, src_h: int, panels: int = 2, z
 def merged_boxes(rows: DataFrame, overlap: float = 0.4) -> DataFrame:
     """rows (episode_id, k, n, x, y, w, h): raw boxes of a frame in the order found -> kept boxes with votes: a box that overlaps a kept one
     by more than `overlap` (intersection over union) votes for the first such, and is gone."""
-    side = "greatest(0, least(z.x + z.w, b.x + b.w) - greatest(z.x, b.x)) * greatest(0, least(z.y + z.h, b.y + b.h) - greatest(z.y, b.y))"
-    first = f"array_position(transform(kept, z -> {side} / cast(z.w * z.h + b.w * b.h - {side} AS double) > {overlap}D), true)"
-    fold = f"""aggregate(boxes, filter(transform(boxes, b -> struct(b.x, b.y, b.w, b.h, 1 AS votes)), z -> false),
-      (kept, b) -> CASE WHEN {first} = 0 THEN array_append(kept, struct(b.x, b.y, b.w, b.h, 1 AS votes)) ELSE transform(kept, (z, i) -> struct(z.x, z.y, z.w, z.h, z.votes + cast(i + 1 = {first} AS int) AS votes)) END)"""
-    return q(rows.sparkSession, f"SELECT episode_id, k, inline({fold}) FROM (SELECT episode_id, k, array_sort(collect_list(struct(n, x, y, w, h))) AS boxes FROM {{rows}} GROUP BY episode_id, k)", rows=rows)
+    side = "greatest(0, least(z.x1, b.x1) - greatest(z.x, b.x)) * greatest(0, least(z.y1, b.y1) - greatest(z.y, b.y))"
+    # the first kept box that a box meets is looked for once: the one-element list binds it for both branches
+    first = f"aggregate(kept, struct(0 AS i, 0 AS at), (f, z) -> CASE WHEN f.at > 0 THEN f WHEN {side} / cast(z.area + b.area - {side} AS double) > {overlap}D THEN struct(f.i + 1 AS i, f.i + 1 AS at) ELSE struct(f.i + 1 AS i, 0 AS at) END, f -> f.at)"
+    fold = f"""aggregate(boxes, filter(transform(boxes, b -> struct(b.x, b.y, b.w, b.h, b.x1, b.y1, b.area, 1 AS votes)), z -> false),
+      (kept, b) -> element_at(transform(array({first}), f -> CASE WHEN f = 0 THEN array_append(kept, struct(b.x, b.y, b.w, b.h, b.x1, b.y1, b.area, 1 AS votes))
+        ELSE concat(slice(kept, 1, f - 1), array(struct(kept[f - 1].x, kept[f - 1].y, kept[f - 1].w, kept[f - 1].h, kept[f - 1].x1, kept[f - 1].y1, kept[f - 1].area, kept[f - 1].votes + 1 AS votes)), slice(kept, f + 1, size(kept))) END), 1),
+      kept -> transform(kept, z -> struct(z.x, z.y, z.w, z.h, z.votes)))"""
+    return q(rows.sparkSession, f"SELECT episode_id, k, inline({fold}) FROM (SELECT episode_id, k, array_sort(collect_list(struct(n, x, y, w, h, x + w AS x1, y + h AS y1, w * h AS area))) AS boxes FROM {{rows}} GROUP BY episode_id, k)", rows=rows)
 
 
 def tracked(samples: DataFrame, faces: DataFrame, near: float = 0.12) -> DataFrame:

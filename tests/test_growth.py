@@ -24,3 +24,36 @@ def test_boxes_of_a_full_frame(spark):
     got = framing.merged_boxes(spark.createDataFrame(raw, "episode_id bigint, k int, n bigint, x int, y int, w int, h int")).collect()
     assert [[r.x, r.y, r.w, r.h, r.votes] for r in got] == kept
     assert time.time() - began < 30
+
+
+def test_ward_at_length():
+    """Three far groups of 4,000 rows, many of them equal: cubic time before (not ended in 60 s)."""
+    import numpy as np
+
+    from windrow.operators import speakers
+
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 3, 4000)
+    x = rng.normal(size=(4000, 8)).round(1) + 20 * np.eye(8)[own]
+    x[own == 0] = x[np.flatnonzero(own == 0)[0]]
+    began = time.time()
+    two, three, four = found = speakers.ward(x, [2, 3, 4])
+    assert time.time() - began < 30
+    assert len({*zip(own, three, strict=True)}) == 3 and len({*zip(own, two, strict=True)}) == 3 and len({*zip(own, four, strict=True)}) == 4
+    assert np.argmax(speakers.silhouettes(x, found)) == 1
+
+
+def test_ward_is_greedy():
+    """The chain of nearest neighbours against merging the cheapest pair of all, again and again."""
+    import numpy as np
+
+    from windrow.operators import speakers
+
+    rng = np.random.default_rng(3)
+    for n in (3, 9, 40):
+        x = rng.normal(size=(n, 4))
+        groups = [[i] for i in range(n)]
+        while len(groups) > 2:
+            _, a, b = min((len(p) * len(q) / (len(p) + len(q)) * ((x[p].mean(0) - x[q].mean(0)) ** 2).sum(), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+            groups[a] += groups.pop(b)
+        assert {frozenset(g) for g in groups} == {frozenset(np.flatnonzero(speakers.ward(x, [2])[0] == k)) for k in (0, 1)}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from bisect import insort
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,8 +159,8 @@ def smoothed(frames: DataFrame) -> DataFrame:
     """frames with smooth (a running median of 9, then a running mean of 5, the ends repeated) and eased (a follower that moves
     22 % of the way to it, and only if it is more than 0.01 off).
 
-    Medians and means slide over rows; only the follower, whose place hangs on the one before, is a loop over an episode's numbers, one
-    Arrow group each."""
+    Medians and means slide over rows; only the follower, whose place hangs on the one before, is a loop over a task's numbers as they stream
+    by, in which each episode's first row starts anew."""
     s = frames.sparkSession
 
     def near(column: str, width: int) -> str:
@@ -172,18 +174,21 @@ def smoothed(frames: DataFrame) -> DataFrame:
     rows = rows.selectExpr("*", f"{odd.format(9)} AS w9", f"{odd.format(5)} AS w5")
     rows = rows.selectExpr("* EXCEPT (xs)", f"CASE WHEN n < 3 THEN x ELSE array_sort({near('xs', 9)})[w9 div 2] END AS med")
     rows = q(s, f"SELECT * EXCEPT (first_, last_), first_value(med) OVER a AS first_, last_value(med) OVER a AS last_, collect_list(med) OVER (PARTITION BY episode_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ms FROM {{rows}} {w}", rows=rows)
-    rows = rows.selectExpr("episode_id", "k", "t", f"CASE WHEN n < 3 THEN x ELSE aggregate({near('ms', 5)}, 0D, (s, y) -> s + y) / w5 END AS smooth")
-
-    def follow(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("k")
-        at, eased = None, []
-        for y in frame["smooth"].tolist():
-            at = y if at is None else at + (y - at) * 0.22 if abs(y - at) > 0.01 else at
-            eased.append(at)
-        return frame.assign(eased=eased)
-
+    rows = rows.selectExpr("episode_id", "k", "t", f"CASE WHEN n < 3 THEN x ELSE aggregate({near('ms', 5)}, 0D, (s, y) -> s + y) / w5 END AS smooth", "i")
+
+    def follow(batches):  # noqa: ANN001, ANN202
+        at = None
+        for batch in batches:
+            eased = []
+            for y, i in zip(batch.column("smooth").to_numpy(zero_copy_only=False).tolist(), batch.column("i").to_pylist(), strict=True):
+                at = y if i == 0 else at + (y - at) * 0.22 if abs(y - at) > 0.01 else at
+                eased.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(eased, pa.float64(), from_pandas=True)], [*names, "eased"])
+
+    names = ["episode_id", "k", "t", "smooth"]
     kind = frames.schema["episode_id"].dataType.simpleString()
-    return rows.groupBy("episode_id").applyInPandas(follow, f"episode_id {kind}, k int, t double, smooth double, eased double")
+    # the windows above deal an episode to one task, in this order
+    return rows.sortWithinPartitions("episode_id", "k").mapInArrow(follow, f"episode_id {kind}, k int, t double, smooth double, eased double")
 
 
 def jerkiness(frames: DataFrame, column: str = "center_x") -> DataFrame:
@@ -365,26 +370,33 @@ def merged_boxes(rows: DataFrame, overlap: float = 0.4) -> DataFrame:
 def tracked(samples: DataFrame, faces: DataFrame, near: float = 0.12) -> DataFrame:
     """samples (episode_id, k, t, motion) and faces (episode_id, k, center_x, score) -> raw track: the best face, or the first that is near
     the last position and scores more than half as much; without faces the last position holds (first 0.5), not confident.
-    The choice hangs on the one before, so an episode's faces are one grouped task."""
+    The choice hangs on the one before, so an episode's faces stream through one task."""
     s = samples.sparkSession
     lists = q(s, "SELECT episode_id, k, transform(array_sort(collect_list(struct(-score AS a, center_x AS x))), z -> struct(z.x AS x, -z.a AS score)) AS faces FROM {faces} GROUP BY episode_id, k", faces=faces)
-    rows = q(s, "SELECT s.episode_id, s.k, s.t, s.motion, l.faces FROM {samples} s LEFT JOIN {lists} l USING (episode_id, k)", samples=samples, lists=lists)
-    kind = samples.schema["episode_id"].dataType.simpleString()
+    rows = q(s, "SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY k) AS i FROM (SELECT s.episode_id, s.k, s.t, s.motion, l.faces.x AS xs, l.faces.score AS scores FROM {samples} s LEFT JOIN {lists} l USING (episode_id, k))", samples=samples, lists=lists)
+
+    def run(batches):  # noqa: ANN001, ANN202
+        last = None
+        for batch in batches:
+            xs, scores = batch.column("xs"), batch.column("scores")
+            ends = np.cumsum(xs.value_lengths().fill_null(0).to_numpy()).tolist()
+            xs, scores = (c.flatten().to_numpy(zero_copy_only=False).tolist() for c in (xs, scores))
+            center, sure, a = [], [], 0
+            for b, i in zip(ends, batch.column("i").to_pylist(), strict=True):
+                if i == 1:
+                    last = None
+                if b > a:
+                    best = a
+                    if last is not None:
+                        best = next((f for f in range(a, b) if abs(xs[f] - last) < near and scores[f] > scores[a] * 0.5), a)
+                    last = xs[best]
+                center.append(last if last is not None else 0.5)
+                sure.append(b > a)
+                a = b
+            yield pa.RecordBatch.from_arrays([batch.column("episode_id"), batch.column("k"), batch.column("t"), pa.array(center, pa.float64(), from_pandas=True), pa.array(sure), batch.column("motion")], ["episode_id", "k", "t", "center_x", "confident", "motion"])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("k")
-        last, out = None, []
-        for found in frame["faces"]:
-            sure = found is not None and len(found) > 0
-            if sure:
-                best = found[0]
-                if last is not None:
-                    best = next((f for f in found if abs(f["x"] - last) < near and f["score"] > best["score"] * 0.5), best)
-                last = best["x"]
-            out.append((last if last is not None else 0.5, sure))
-        return frame[["episode_id", "k", "t"]].assign(center_x=[x for x, _ in out], confident=[c for _, c in out], motion=frame["motion"])
-
-    return rows.groupBy("episode_id").applyInPandas(run, f"episode_id {kind}, k int, t double, center_x double, confident boolean, motion double")
+    kind = samples.schema["episode_id"].dataType.simpleString()
+    return rows.sortWithinPartitions("episode_id", "k").mapInArrow(run, f"episode_id {kind}, k int, t double, center_x double, confident boolean, motion double")
 
 
 def crop_path(track: DataFrame, cuts: DataFrame, half: float) -> DataFrame:

@@ -82,3 +82,20 @@ def test_tracks_of_many_short_shots(spark):
                 at = y if at is None else at + (y - at) * 0.22 if abs(y - at) > 0.01 else at
                 eased.append(at)
         assert abs(got[e, k] - min(max(eased[k % 3], 0.1), 0.9)) < 1e-9
+
+
+def test_windows_of_dense_speech(spark):
+    """Up to 300 lines a window: a window's sums were folded over its lines before (not ended in 100 s)."""
+    from windrow.config import PROSE
+    from windrow.operators import scoring
+
+    rnd = random.Random(5)
+    words = ["harbor", "engine", "why", "the", "secret", "money", "because", "listen"]
+    rows = [(1, k, k * 0.25, k * 0.25 + 0.25, f"{rnd.choice(words)} {rnd.choice(words)} {k % 7}" + rnd.choice(".?,"), "a") for k in range(1500)]
+    feats = scoring.features(spark.createDataFrame(rows, "episode_id bigint, seg int, start double, end double, text string, speaker string"), PROSE)
+    scoring.candidate_windows(feats, PROSE).where("j < 5").count()
+    began = time.time()
+    got = scoring.candidate_windows(feats, PROSE).selectExpr("count(*) AS n", "sum(n) AS lines", "sum(round(distinctiveness, 6)) AS d", "count_if(raised) AS raised").first()
+    took = time.time() - began
+    assert got.n == sum(min(1500 - i, 300) - 59 for i in range(1500 - 59)) and got.d > 0
+    assert took < 40

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.views import q
@@ -12,24 +12,33 @@ from ..sources.views import q
 
 def near_duplicates_dropped(scores: DataFrame, keep: int = 400, within: float = 3.0) -> DataFrame:
     """The pool: by raw score (then i, j), a window stays if none that stays starts and ends within `within` seconds of it;
-    `keep` at most for each episode. Greedy by definition, so an episode's (i, j, start, end, raw) go to one grouped task, as
-    numbers only. scores: calibrated."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["raw_score", "i", "j"], ascending=[False, True, True])
-        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
-        kept_s, kept_e, at = np.empty(keep), np.empty(keep), []
-        for r in range(len(rows)):
-            n = len(at)
-            if n == keep:
-                break
-            if not ((np.abs(kept_s[:n] - start[r]) < within) & (np.abs(kept_e[:n] - end[r]) < within)).any():
-                kept_s[n], kept_e[n] = start[r], end[r]
-                at.append(r)
-        return rows.iloc[at].assign(place=np.arange(1, len(at) + 1))
+    `keep` at most for each episode. Greedy by definition, so an episode's windows stream through one task in that order, as numbers only;
+    what stays is held by cells of `within` seconds, of which a window meets nine. scores: calibrated."""
+
+    def pick(batches):  # noqa: ANN001, ANN202
+        cells: dict[tuple[float, float], list[tuple[float, float]]] = {}
+        n = 0
+        for batch in batches:
+            at, places = [], []
+            for r, (place, s, e) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("place", "start", "end")), strict=True)):
+                if place == 1:
+                    cells, n = {}, 0
+                if n == keep:
+                    continue
+                x, y = s // within, e // within
+                if not any(abs(a - s) < within and abs(b - e) < within for u in (x - 1, x, x + 1) for v in (y - 1, y, y + 1) for a, b in cells.get((u, v), ())):
+                    cells.setdefault((x, y), []).append((s, e))
+                    n += 1
+                    at.append(r)
+                    places.append(n)
+            kept = batch.take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(places, pa.int32())], batch.schema.names)
 
     rows = scores.select("episode_id", "i", "j", "start", "end", "raw_score", "score", "percentile")
-    return rows.groupBy("episode_id").applyInPandas(pick, T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType())]))
+    out = T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType())])
+    rows = q(rows.sparkSession, "SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY raw_score DESC, i, j) AS place FROM {rows}", rows=rows)
+    # the window deals an episode to one task, in this order
+    return rows.sortWithinPartitions("episode_id", F.desc("raw_score"), "i", "j").mapInArrow(pick, out)
 
 
 _FOLD = """

@@ -99,3 +99,15 @@ def test_windows_of_dense_speech(spark):
     took = time.time() - began
     assert got.n == sum(min(1500 - i, 300) - 59 for i in range(1500 - 59)) and got.d > 0
     assert took < 40
+
+
+def test_tasks_follow_the_files(spark, monkeypatch, tmp_path):
+    """More files, more tasks, whatever the number of shuffle partitions: it was that number before."""
+    from windrow.sources import views
+
+    spark.range(20000).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "concat('Say ', uuid(), '.') AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(views, "TASK_BYTES", 1 << 16)
+    segments = views.derived_segments(spark, str(tmp_path))
+    assert segments.rdd.getNumPartitions() >= 10
+    assert segments.count() == 20000
+    assert views.dealt(spark.createDataFrame([(1,)], "k int"), "k").rdd.getNumPartitions() == 4

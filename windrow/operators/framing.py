@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.views import BUCKET, MEET, q, stretches
+from ..sources.views import BUCKET, MEET, dealt, q, stretches
 
 STATIC_MOTION, MIN_RUN = 1.2, 1.5
 
@@ -25,11 +25,11 @@ def center_at(frames: DataFrame, points: DataFrame) -> DataFrame:
         """
         WITH near AS (
           SELECT *, last_value(CASE WHEN frame = 1 THEN struct(t, x) END, true) OVER (PARTITION BY episode_id ORDER BY t, frame DESC ROWS UNBOUNDED PRECEDING) AS a,
-            first_value(CASE WHEN frame = 1 THEN struct(t, x) END, true) OVER (PARTITION BY episode_id ORDER BY t, frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM {both})
+            last_value(CASE WHEN frame = 1 THEN struct(t, x) END, true) OVER (PARTITION BY episode_id ORDER BY t DESC, frame DESC ROWS UNBOUNDED PRECEDING) AS b FROM {both})
         SELECT episode_id, t, CASE WHEN a IS NULL AND b IS NULL THEN 0.5D WHEN a IS NULL THEN b.x WHEN b IS NULL THEN a.x WHEN b.t <= a.t THEN a.x ELSE a.x + (b.x - a.x) * ((t - a.t) / (b.t - a.t)) END AS center
         FROM near WHERE frame = 0
         """,
-        both=both,
+        both=dealt(both, "episode_id"),
     )
 
 
@@ -38,7 +38,7 @@ def crop_commands(frames: DataFrame, clips: DataFrame, scaled_width: int, out_wi
     grid = clips.selectExpr("episode_id", "clip", "start", f"explode(sequence(0, cast(ceil((end - start) * {rate}D) AS int) - 1)) AS k").selectExpr("*", f"start + k / {rate}D AS t")
     at = center_at(frames, grid.select("episode_id", "t").distinct())
     x = f"least(greatest(cast(bround(center * {scaled_width} - {out_width / 2}D) AS int), 0), {max(0, scaled_width - out_width)})"
-    return grid.join(at, ["episode_id", "t"]).selectExpr("episode_id", "clip", "k", f"format_string('%.3f crop x %d;', t - start, {x}) AS line")
+    return dealt(grid, "episode_id", "t").join(at, ["episode_id", "t"]).selectExpr("episode_id", "clip", "k", f"format_string('%.3f crop x %d;', t - start, {x}) AS line")
 
 
 def frames_at(frames: DataFrame, wants: DataFrame) -> DataFrame:
